@@ -47,3 +47,10 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     if rows is None:
         rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, computed once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
