@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in the Python workers of all executors; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_strandline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="strandline-ship-"), "strandline.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("strandline", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._strandline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
