@@ -6,6 +6,7 @@ import importlib.util
 import os
 
 from strandline.llm.leakage import leaks
+from strandline.llm.neardup import pairs
 from strandline.llm.sentences import sentences
 from strandline.llm.tokens import encode_corpus
 from strandline.session import table
@@ -24,6 +25,10 @@ def p1_found(spark, sf_dir):
     return sentences(table(spark, sf_dir, "cdr"))
 
 
+def p2_found(spark, sf_dir):
+    return pairs(table(spark, sf_dir, "cdr"))
+
+
 def p7_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,5 +37,5 @@ def p8_found(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
