@@ -7,6 +7,7 @@ import os
 
 from strandline.llm.leakage import leaks
 from strandline.llm.neardup import pairs
+from strandline.llm.quality import kinds, outlier_scores, statistics
 from strandline.llm.sentences import sentences
 from strandline.llm.tokens import encode_corpus
 from strandline.session import table
@@ -37,5 +38,17 @@ def p8_found(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark, sf_dir):
+    return kinds(statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")))
+
+
+def p9_statistics(spark, sf_dir):
+    return statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
+
+
+def p9_outliers(spark, sf_dir):
+    return outlier_scores(statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")))
+
+
+QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p9_outliers": p9_outliers, "p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
