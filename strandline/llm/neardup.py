@@ -46,8 +46,11 @@ def window_set(text: str) -> set[str]:
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """``len(texts) x (SEGMENTS * WIDTH)`` symbols (uint32) of normalised texts of at least ``WINDOW`` characters."""
-    out = np.empty((len(texts), SEGMENTS * WIDTH), dtype=np.uint32)
+    """``len(texts) x (SEGMENTS * WIDTH)`` symbols of normalised texts of at least ``WINDOW`` characters.
+
+    A symbol is the low 16 bits of a minimum: different minima share one in 65,536 times, which verification sorts out.
+    """
+    out = np.empty((len(texts), SEGMENTS * WIDTH), dtype=np.uint16)
     at = 0
     while at < len(texts):
         # groups of texts of about 64k characters stay in the cache
@@ -70,7 +73,7 @@ def signatures(texts: list[str]) -> np.ndarray:
         edges[::2], edges[1::2] = starts, starts + lengths - WINDOW + 1
         edges = edges[:-1]
         for k in range(SEGMENTS * WIDTH):
-            out[at:stop, k] = np.minimum.reduceat((h ^ _FLIP[k]) * _MULTIPLY[k], edges)[::2]
+            out[at:stop, k] = np.minimum.reduceat((h ^ _FLIP[k]) * _MULTIPLY[k], edges)[::2] & np.uint32(0xFFFF)
         at = stop
     return out
 
@@ -111,7 +114,7 @@ def _signed(texts: DataFrame) -> DataFrame:
 def _keys(classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, SEGMENTS * WIDTH)
+            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SEGMENTS * WIDTH)
             if len(symbols):
                 keys = variant_keys(symbols)
                 recs = np.repeat(batch.column(0).to_numpy(), SEGMENTS * WIDTH)
@@ -125,7 +128,7 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, SEGMENTS * WIDTH) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, SEGMENTS * WIDTH) for i in (2, 3))
             keep = pa.array((x == y).mean(axis=1) >= MIN_AGREEMENT)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
