@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.operators.messages import surplus_rows
+from strandline.operators.schema_drift import changes, unify
 from strandline.operators.timestamps import found_instants
 from strandline.session import table
 
@@ -11,9 +12,17 @@ def p4_found(spark, sf_dir):
     return surplus_rows(table(spark, sf_dir, "notices"), table(spark, sf_dir, "teams"))
 
 
+def p5_found(spark, sf_dir):
+    return changes(table(spark, sf_dir, "meta_files"))
+
+
+def p5_unified(spark, sf_dir):
+    return unify(table(spark, sf_dir, "meta_files"))
+
+
 def p6_found(spark, sf_dir):
     return found_instants(table(spark, sf_dir, "notices"), table(spark, sf_dir, "cdr"), table(spark, sf_dir, "teams"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found}
 SQL: dict[str, str] = {}
