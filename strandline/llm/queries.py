@@ -8,6 +8,7 @@ import os
 from strandline.llm.leakage import leaks
 from strandline.llm.neardup import pairs
 from strandline.llm.quality import kinds, outlier_scores, statistics
+from strandline.llm.scans import repaired
 from strandline.llm.sentences import sentences
 from strandline.llm.tokens import encode_corpus
 from strandline.session import table
@@ -30,6 +31,10 @@ def p2_found(spark, sf_dir):
     return pairs(table(spark, sf_dir, "cdr"))
 
 
+def p3_found(spark, sf_dir):
+    return repaired(table(spark, sf_dir, "scans"), table(spark, sf_dir, "lexicon"))
+
+
 def p7_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -50,5 +55,5 @@ def p9_outliers(spark, sf_dir):
     return outlier_scores(statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")))
 
 
-QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p9_outliers": p9_outliers, "p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p9_outliers": p9_outliers, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
