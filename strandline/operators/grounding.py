@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scores import combined
-from strandline.functions.text import edit_distance
 from strandline.session import broadcast_if_small
 
 #: Nodes (or examples, or patterns) up to which a vocabulary is sent to all workers: it is a dimension, its size is checked.
@@ -96,27 +95,78 @@ def by_pattern(rows: DataFrame, nodes: DataFrame, id_col: str = "id", text: str
     return _compared(rows, id_col, text, score, rows.schema[id_col].dataType.simpleString())
 
 
+class _Distance:
+    """Edit distance of one text to many, bit-parallel: a column of the table is one integer."""
+
+    def __init__(self, text: str):
+        self.size, self.full = len(text), (1 << len(text)) - 1
+        self.at: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.at[c] = self.at.get(c, 0) | 1 << i
+
+    def to(self, other: str) -> int:
+        if not self.size:
+            return len(other)
+        up, down, score, top = self.full, 0, self.size, 1 << (self.size - 1)
+        for c in other:
+            eq = self.at.get(c, 0)
+            diagonal = (((eq & up) + up) ^ up) | eq | down
+            right_up, right_down = down | ~(diagonal | up) & self.full, up & diagonal
+            score += bool(right_up & top) - bool(right_down & top)
+            right_up = (right_up << 1 | 1) & self.full
+            right_down = right_down << 1 & self.full
+            up, down = right_down | ~(diagonal | right_up) & self.full, right_up & diagonal
+        return score
+
+
 def by_examples(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", text: str = "name") -> DataFrame:
     """``id, node, score``: the ``k`` nodes with an example most similar to the row's text (ties by node)."""
     shared = _vocabulary(nodes.where(F.size("examples") > 0), "node", "examples")
 
     def score(values):
-        out = []
+        flat = [(n, e.lower()) for n, es in shared.value for e in es]
+        letters = {c: i for i, c in enumerate(sorted({c for _, e in flat for c in e}))}
+        sizes = np.array([len(e) for _, e in flat])
+        bags = np.zeros((len(flat), len(letters)), dtype=np.int32)
+        for i, (_, e) in enumerate(flat):
+            for c in e:
+                bags[i, letters[c]] += 1
         memo: dict = {}
+        out = []
         for i, v in enumerate(values):
-            if v is None:
+            if v is None or not flat:
                 continue
-            best = memo.get(v)
-            if best is None:
-                a = v.lower()
-                scored = [(-round(max(1 - edit_distance(a, e.lower()) / max(len(a), len(e), 1) for e in es), 6), n) for n, es in shared.value]
-                best = memo[v] = [(n, -s) for s, n in heapq.nsmallest(k, scored)]
-            out += [(i, n, s) for n, s in best]
+            if v not in memo:
+                memo[v] = _best_examples(v.lower(), flat, letters, sizes, bags, k)
+            out += [(i, n, s) for n, s in memo[v]]
         return out
 
     return _compared(rows, id_col, text, score, rows.schema[id_col].dataType.simpleString())
 
 
+def _best_examples(a: str, flat: list, letters: dict, sizes, bags, k: int) -> list[tuple[str, float]]:
+    """The ``k`` best nodes for a text. Letters not shared bound the distance from below, so most examples need no table."""
+    bag = np.zeros(len(letters), dtype=np.int32)
+    for c in a:
+        if c in letters:
+            bag[letters[c]] += 1
+    longest = np.maximum(np.maximum(sizes, len(a)), 1)
+    bound = np.round(1 - (longest - np.minimum(bags, bag).sum(axis=1)) / longest, 6) + 1e-9
+    to = _Distance(a).to
+    best: dict[str, float] = {}
+    least = -1.0
+    for j in np.argsort(-bound, kind="stable"):
+        if len(best) >= k and bound[j] < least:
+            break
+        node, example = flat[j]
+        s = round(1 - to(example) / int(longest[j]), 6)
+        if s > best.get(node, -1.0):
+            best[node] = s
+            if len(best) >= k:
+                least = heapq.nlargest(k, best.values())[-1]
+    return [(n, -s) for s, n in heapq.nsmallest(k, [(-s, n) for n, s in best.items()])]
+
+
 def sieve(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", text: str = "name", least: float = 0.0) -> DataFrame:
     """``id, node, score, stage, rank``: exact names, else patterns, else examples; a later stage only where the earlier found none."""
     first = exact(rows, nodes, id_col, text)
