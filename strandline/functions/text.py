@@ -20,7 +20,7 @@ def sentences(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Pieces between blank lines, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"\s*\n\s*\n\s*"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\s*\n\s*\n\s*"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def words(text: Column) -> Column:

@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
 
 
 WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
-SENTENCES = "list_filter(string_split_regex(text, '[.!?]+\\s+'), lambda s: trim(s) <> '')"
+SENTENCES = "list_filter(string_split_regex(text, '[.!?]+\\s+'), lambda s: trim(s, ' ') <> '')"
 
 
 @query("sentence_split_stats", f"SELECT lang, count(*) AS n_docs, sum(len({SENTENCES}))::BIGINT AS n_sentences, max(len({SENTENCES}))::BIGINT AS longest FROM documents WHERE text IS NOT NULL GROUP BY lang")
@@ -47,7 +47,7 @@ def _(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_sentences"), F.max(n).alias("longest"))
 
 
-@query("paragraph_stats", "SELECT source, count(*) AS n_docs, sum(len(list_filter(list_transform(string_split_regex(text, '[\\s\\x0b]*\\n[\\s\\x0b]*\\n[\\s\\x0b]*'), lambda p: trim(p)), lambda p: p <> '')))::BIGINT AS n_paragraphs FROM documents WHERE text IS NOT NULL GROUP BY source")
+@query("paragraph_stats", "SELECT source, count(*) AS n_docs, sum(len(list_filter(list_transform(string_split_regex(text, '[\\s\\x0b]*\\n[\\s\\x0b]*\\n[\\s\\x0b]*'), lambda p: trim(p, ' ')), lambda p: p <> '')))::BIGINT AS n_paragraphs FROM documents WHERE text IS NOT NULL GROUP BY source")
 def _(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.size(X.paragraphs(F.col("text"))).cast("long")).alias("n_paragraphs"))
 
