@@ -127,9 +127,9 @@ def nodes(text: str, start: int, end: int) -> list[Node]:
         elif c.isspace():
             if closer is None and at > start and stop < end:
                 a, b = text[at - 1], text[stop]
+                if a == "\n" or b == "\n":
+                    continue  # part of a line break, which never ends a sentence
                 beside = "rep" if a in "ๆໆៗ" or b in "ๆໆៗ" else "num" if a.isdigit() or b.isdigit() else "open" if b in "“„«「『\"" else "plain"
-                if text[stop:].startswith("\n"):
-                    beside = "line"
                 out.append(Node(at, ("blank", beside), "", beside == "open"))
             continue
         elif closer is None:
@@ -314,8 +314,11 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         chain = nodes(text, a, b)
         start = a
         for node, boundary in zip(chain, m.decode(chain)):
-            if boundary and node.end > start:
-                out.append((start, node.end))
+            end = node.end
+            while end > start and text[end - 1].isspace():
+                end -= 1
+            if boundary and end > start:
+                out.append((start, end))
                 start = _SPACE.match(text, node.end, b).end()
         if start < b:
             out.append((start, b))
