@@ -50,13 +50,16 @@ def counts(attachments: Column, kind: str) -> Column:
     return F.size(F.filter(attachments, lambda a: a["type"] == kind))
 
 
+def _named(attachments: Column, kind: str, name: str, lower: bool) -> Column:
+    trigger = (lambda a: F.lower(a["trigger"])) if lower else (lambda a: a["trigger"])
+    return F.transform(F.filter(attachments, lambda a: a["type"] == kind), lambda a: F.concat(F.lit(f"{name}("), trigger(a), F.lit(")")))
+
+
 def modifier_string(attachments: Column) -> Column:
     """``Quant(t), Hedged(t), Negated(t)`` with lower-case triggers, in this order of types."""
-    parts = [F.transform(F.filter(attachments, lambda a, k=k: a["type"] == k), lambda a, n=n: F.concat(F.lit(f"{n}("), F.lower(a["trigger"]), F.lit(")"))) for k, n in (("QUANT", "Quant"), ("HEDGE", "Hedged"), ("NEGATION", "Negated"))]
-    return F.array_join(F.concat(*parts), ", ")
+    return F.array_join(F.concat(*[_named(attachments, k, n, True) for k, n in (("QUANT", "Quant"), ("HEDGE", "Hedged"), ("NEGATION", "Negated"))]), ", ")
 
 
 def polarity_string(attachments: Column) -> Column:
     """``Increase(t), Decrease(t)``, increases first."""
-    parts = [F.transform(F.filter(attachments, lambda a, k=k: a["type"] == k), lambda a, n=n: F.concat(F.lit(f"{n}("), a["trigger"], F.lit(")"))) for k, n in (("INC", "Increase"), ("DEC", "Decrease"))]
-    return F.array_join(F.concat(*parts), ", ")
+    return F.array_join(F.concat(*[_named(attachments, k, n, False) for k, n in (("INC", "Increase"), ("DEC", "Decrease"))]), ", ")
