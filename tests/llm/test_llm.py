@@ -165,7 +165,7 @@ def test_kinds(spark):
     words = prose(3).lower().replace(".", "").replace(",", "").split()
     docs = [(i, prose(random.randint(2, 6)), "en") for i in range(60)]
     docs += [
-        (100, "\n".join(f"- item {w}" for w in words), "en"), (101, "\n".join(f"{w} | {i}.5 | {i * 7} | 3" for i, w in enumerate(words)), "en"), (102, "error 404 " * 200, "en-XX"),
+        (100, "\n".join(f"- {w}{i} crate" for i, w in enumerate(words)), "en"), (101, "\n".join(f"{w} | {i}.5 | {i * 7} | 3" for i, w in enumerate(words)), "en"), (102, "error 404 " * 200, "en-XX"),
         (103, "".join(random.choices("#%&/{}[]<>=+*~^", k=500)), "en"), (104, None, "en"), (105, "", None), (106, "  \n ", "en"), (107, "Home | Menu | Login | Next | Search | Print | Home | Menu | Contact | About | Top | Share", "en"),
         (108, prose(4) + "\n\n- one\n- two\n- three", "en"), (109, " ".join("".join(random.choices("bcdfgklmnpqrstvwxz", k=7)) for _ in range(60)), "en"),
     ]
