@@ -596,3 +596,37 @@ def _(spark, d):
 def _(spark, d):
     w = table(spark, d, "events").groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type")
     return w.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+CONNECTIVES = ["because of", "due to", "owing to"]
+
+
+@query("rule_mentions", f"SELECT text, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS text FROM (SELECT {WORDS} AS w, unnest(range(1, len({WORDS}) - 1)) AS i FROM documents WHERE lang = 'en')) WHERE text IN ({quoted(CONNECTIVES)}) GROUP BY text")
+def _(spark, d):
+    from strandline.operators.rules import find_mentions
+
+    rule = {"name": "connective", "label": "Connective", "type": "token", "pattern": "(?<trigger> " + "|".join(CONNECTIVES) + ") (?= [])"}
+    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("sent_key"), F.transform(X.words(F.col("text")), lambda w: F.struct(w.alias("word"))).alias("tokens"), F.expr("cast(array() AS array<struct<src:int,dst:int,rel:string>>)").alias("edges"))
+    return find_mentions(docs, [rule]).where("label = 'Connective'").groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("annotated_tokens")
+def _(spark, d):
+    from strandline.functions.annotate import sentences
+
+    s = sentences(table(spark, d, "documents").where("lang = 'en'"))
+    return s.select(F.explode("tokens.tag").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("causal_edges")
+def _(spark, d):
+    from strandline.plans import pipeline
+
+    return pipeline.edges(pipeline.mentions(table(spark, d, "documents").where("lang = 'en'")))
+
+
+@query("causal_graph")
+def _(spark, d):
+    from strandline.plans import pipeline
+
+    return pipeline.causal_graph(pipeline.edges(pipeline.mentions(table(spark, d, "documents").where("lang = 'en'"))))
