@@ -127,43 +127,72 @@ def body_lines(text: str) -> list[list[str]]:
     return out
 
 
+def _joined(lines: list[str], known: frozenset | set, start: str = "") -> str:
+    """Lines as running text; a word broken at a line end is whole if a form of it is known, else it holds :data:`BREAK`."""
+    now = start
+    for raw in lines:
+        line = " ".join(x for x in re.split(r"[ \t]+", raw) if x)
+        if now and now[-1] in _HYPHENS and len(now) > 1 and now[-2].isalnum():
+            head = _WORD.findall(now[:-1])[-1]
+            tail = (_WORD.match(line) or [""])[0]
+            whole, compound = (head + tail).lower(), f"{head}-{tail}".lower()
+            now = now[:-1] + ("" if whole in known else "-" if compound in known else BREAK) + line
+        else:
+            now = f"{now} {line}" if now else line
+    return now
+
+
+def _sentence_count(text: str) -> int:
+    return len(re.findall(r"\.(?= [A-ZÀ-Þ]|$)", text))
+
+
 def paragraphs(text: str | None, known: frozenset | set) -> list[str]:
-    """The paragraphs of a scan; a word broken at a line end is whole if a form of it is known, else it holds :data:`BREAK`."""
+    """The paragraphs of a scan, across its pages. Every paragraph ends with a full stop; blank lines or indents begin new ones.
+
+    At a page end with a full stop there may be neither: the paragraph has ended if the next word would have fitted
+    on its last line; else the pieces belong together unless they make it longer, in sentences, than any paragraph
+    that lies whole on a page of the scan.
+    """
     if not text or not text.strip():
         return []
     pages = body_lines(text)
-    width = max((len(x) for p in pages for x in p), default=0)
-    spaced = any(not x.strip() for p in pages for x in p)
-    done: list[str] = []
-    now, last = "", ""
+    width = _width([x for p in pages for x in p])
+    blanks = indents = 0
     for p in pages:
-        blank, first = False, True
+        filled = [(i, x) for i, x in enumerate(p) if x.strip()]
+        for (i, x), (j, y) in zip(filled, filled[1:]):
+            if x.rstrip().endswith("."):
+                blanks += j > i + 1
+                indents += y[0] in " \t"
+    spaced = blanks >= indents
+    pieces: list[tuple[int, list[str]]] = []
+    for number, p in enumerate(pages):
+        blank, last = False, ""
         for raw in p:
-            line = " ".join(x for x in re.split(r"[ \t]+", raw) if x)
-            if not line:
+            if not raw.strip():
                 blank = True
                 continue
-            indented = len(raw) - len(raw.lstrip(" \t")) >= 1
-            if now and now.endswith("."):
-                if first:
-                    # at a page break the paragraph goes on if the next word would not have fitted on the last line
-                    new = len(last) + 1 + len(line.split(" ")[0]) <= width if spaced else indented
-                else:
-                    new = blank if spaced else indented
-                if new:
-                    done.append(now)
-                    now = ""
-            if now and now[-1] in _HYPHENS and len(now) > 1 and now[-2].isalnum():
-                head = _WORD.findall(now[:-1])[-1]
-                tail = (_WORD.match(line) or [""])[0]
-                whole, compound = (head + tail).lower(), f"{head}-{tail}".lower()
-                joint = "" if whole in known else "-" if compound in known else BREAK
-                now = now[:-1] + joint + line
+            if not last or (last.rstrip().endswith(".") and (blank if spaced else raw[0] in " \t")):
+                pieces.append((number, []))
+            pieces[-1][1].append(raw)
+            blank, last = False, raw
+    whole = [_sentence_count(_joined(x, known)) for k, (n, x) in enumerate(pieces) if 0 < k < len(pieces) - 1 and pieces[k - 1][0] == n == pieces[k + 1][0]]
+    longest = max(whole) if len(whole) >= 2 else None
+    done: list[str] = []
+    page, last = -1, ""
+    for number, lines in pieces:
+        ended = bool(done) and done[-1].endswith(".")
+        if ended and number != page:
+            if spaced:
+                first = lines[0].split()[0]
+                ended = len(last.rstrip()) + 1 + len(first) <= width or (longest is not None and _sentence_count(done[-1]) + _sentence_count(_joined(lines, known)) > longest)
             else:
-                now = f"{now} {line}" if now else line
-            last, blank, first = raw, False, False
-    if now:
-        done.append(now)
+                ended = lines[0][0] in " \t"
+        if not done or ended:
+            done.append(_joined(lines, known))
+        else:
+            done[-1] = _joined(lines, known, done[-1])
+        page, last = number, lines[-1]
     return [unicodedata.normalize("NFC", d.replace("ﬁ", "fi").replace("ﬂ", "fl").replace("ﬀ", "ff").replace("ﬃ", "ffi").replace("ﬄ", "ffl")) for d in done]
 
 
