@@ -31,7 +31,7 @@ _SUFFIXES = [(re.compile(p), t) for p, t in ((r"ly$", "RB"), (r"ing$", "VBG"), (
 def tag(word: str, first: bool, before: str) -> str:
     low = word.lower()
     if not word[0].isalnum():
-        return "."  if word[0] in ".!?" else "," if word[0] == "," else "SYM"
+        return "." if word[0] in ".!?" else "," if word[0] == "," else "SYM"
     if word[0].isdigit():
         return "CD"
     if low in _CLOSED:
@@ -40,7 +40,9 @@ def tag(word: str, first: bool, before: str) -> str:
         return "NNP"
     for pattern, t in _SUFFIXES:
         if pattern.search(low) and len(low) > 4:
-            return "JJ" if t in ("VBD", "VBG") and before in ("DT", "JJ", "PRP$", "IN") else t
+            if before in ("DT", "JJ", "PRP$", "IN"):
+                return {"VBD": "JJ", "VBG": "NN"}.get(t, t)
+            return t
     return "NNS" if low.endswith("s") and not low.endswith("ss") and len(low) > 3 else "NN"
 
 
