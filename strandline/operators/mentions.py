@@ -136,3 +136,31 @@ def reachable(arguments: DataFrame, roots: DataFrame, depth: int = 8) -> DataFra
         level = level.join(arguments, "mention_id").select("root", F.col("argument_id").alias("mention_id")).distinct()
         found = found.unionByName(level)
     return found.distinct()
+
+
+def without_contained_events(df: DataFrame, keys: list[str], weight: str, args: str, tie: str) -> DataFrame:
+    """Events of one trigger, from the heaviest on, without those whose every argument text is part of one kept before.
+
+    ``args`` is an array of texts. The events of one trigger are few (they share a sentence and a span); they are folded
+    in an array in a fixed order: heavier first, then by ``tie``.
+    """
+    entry = F.struct((-F.col(weight)).alias("w"), F.col(tie).alias("tie"), F.col(args).alias("args"))
+    group = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__es"))
+    inside = lambda kept, e: F.exists(kept, lambda k: F.forall(e["args"], lambda a: F.exists(k["args"], lambda b: b.contains(a))))
+    kept = F.aggregate("__es", F.filter("__es", lambda _: F.lit(False)), lambda acc, e: F.when(inside(acc, e), acc).otherwise(F.concat(acc, F.array(e))))
+    ids = group.select(F.explode(F.transform(kept, lambda e: e["tie"])).alias(tie))
+    return df.join(ids, tie, "left_semi")
+
+
+def entities(tokens: DataFrame, found: DataFrame, avoid: DataFrame) -> DataFrame:
+    """Entity clean-up in order: not inside avoided spans, split at coordination, trimmed at the edges, each once.
+
+    ``tokens(sent_key, tokens)``, ``found(sent_key, start, stop)``, ``avoid(sent_key, start, stop)``; gives ``sent_key, start, stop``.
+    """
+    from strandline.functions.tagsets import split_coordinated, trimmed
+
+    a = avoid.select("sent_key", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
+    overlap = lambda df: df.alias("l").join(a.alias("r"), (F.col("l.sent_key") == F.col("r.sent_key")) & (F.col("l.start") < F.col("r.b_stop")) & (F.col("r.b_start") < F.col("l.stop")), "left_anti")
+    parts = found.join(tokens, "sent_key").select("sent_key", "tokens", F.explode(split_coordinated(F.col("tokens"), F.col("start"), F.col("stop"))).alias("p"))
+    cut = parts.select("sent_key", trimmed(F.col("tokens"), F.col("p.start"), F.col("p.stop")).alias("p")).select("sent_key", "p.start", "p.stop").distinct()
+    return overlap(cut)
