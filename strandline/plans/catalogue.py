@@ -630,3 +630,27 @@ def _(spark, d):
     from strandline.plans import pipeline
 
     return pipeline.causal_graph(pipeline.edges(pipeline.mentions(table(spark, d, "documents").where("lang = 'en'"))))
+
+
+@query("compositional_slots")
+def _(spark, d):
+    from strandline.operators import compositional
+
+    names = table(spark, d, "extractions").where("canonical_name IS NOT NULL").select(F.col("canonical_name").alias("name")).distinct()
+    return compositional.ground(names, table(spark, d, "ontology_nodes").select(F.col("node_path").alias("node"), "branch"), "name", "name").withColumnRenamed("id", "name")
+
+
+@query("time_expressions")
+def _(spark, d):
+    from strandline.operators.context import times
+
+    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", F.to_date("published_at").alias("dct"))
+    return times(docs).select("doc_id", "start", "stop", "text", F.col("begins").cast("string").alias("begins"), F.col("ends").cast("string").alias("ends"))
+
+
+@query("annotation_sheet")
+def _(spark, d):
+    from strandline.plans import pipeline
+    from strandline.sources.exporters import annotation_sheet
+
+    return annotation_sheet(pipeline.edges(pipeline.mentions(table(spark, d, "documents").where("lang = 'en'"))))
