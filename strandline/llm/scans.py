@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -50,9 +51,11 @@ def _shape(line: str) -> str:
     return re.sub(r"[^\w]|[il1o0e c5s6t f]", "", text)
 
 
+@lru_cache(maxsize=8192)
 def _is_upper(line: str) -> bool:
-    letters = [c for c in line if c.isalpha()]
-    return len(letters) >= 3 and sum(c.isupper() for c in letters) >= 0.75 * len(letters)
+    """A line in capitals. Every line is asked for several times in a row."""
+    letters = sum(map(str.isalpha, line))
+    return letters >= 3 and sum(map(str.isupper, line)) >= 0.75 * letters
 
 
 _FOOT = re.compile(r"^(?:[\dOolIS]{1,4}|[ivxlc]{1,6})\s*[|·•–—]\s*\S.*$")
