@@ -2,11 +2,12 @@
 
 1. One narrow Arrow stage computes the statistics of every document and the shares of its text that are list
    items, table rows or junk of a known form.
-2. The distinct values of each statistic and language are counted (map-side combined), range-partitioned, sorted
-   and cumulated; the totals of the partitions before give each partition's offset, so every value has its exact
-   rank without any single task seeing all values (:func:`exact_ranks`).
+2. Copies of a text within a language are collapsed. The distinct values of each statistic and language are counted
+   over the texts left (map-side combined), range-partitioned, sorted and cumulated; the totals of the partitions
+   before give each partition's offset, so every value has its exact rank without any single task seeing all values
+   (:func:`exact_ranks`). Languages of few texts are ranked among the texts of all languages.
 3. Both empirical tail probabilities of each statistic are turned into a surprise, and the surprises of a document
-   are added up to its outlier score.
+   are added up to the outlier score of the text, which every copy of it has.
 4. A document is reported if it is an outlier and its structure says what it is.
 """
 
@@ -25,6 +26,8 @@ from strandline.session import broadcast_if_small, written
 STATS = ["n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_mark_lines", "common_words", "distinct_words", "mean_line_words"]
 #: Outlier score (sum of surprises, natural logarithm) from which a document can be reported.
 MIN_SCORE = 6.0
+#: Distinct texts from which a language has ranks of its own; the texts of smaller ones are ranked among all languages.
+MIN_TEXTS = 50
 #: Share of unseen neighbours among known words from which words are in no order.
 MAX_DISORDER = 0.58
 
@@ -192,14 +195,14 @@ SAMPLE = 4_000
 
 
 def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``doc_id, lang`` and :data:`STATS` of every document, with ``table_share, list_share, junk, disorder``.
+    """``doc_id, lang, digest`` and :data:`STATS` of every document, with ``table_share, list_share, junk, disorder``.
 
     ``lang`` is normalised to its lower-case primary tag, ``und`` where it is null. Shares and means are rounded
     to three decimals. Null, empty and blank texts have null figures and stay in the result; rows are kept as they
     are, repeated ones too; an empty table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.lower(F.regexp_extract(F.trim(docs["lang"]), r"^[A-Za-z]+", 0)), F.lit("und")).alias("lang"), docs["text"].alias("text"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.lower(F.regexp_extract(F.trim(docs["lang"]), r"^[A-Za-z]+", 0)), F.lit("und")).alias("lang"), F.unhex(F.md5(docs["text"])).alias("digest"), docs["text"].alias("text"))
     common: dict[str, set] = {}
     for r in lexicon.where("is_common").select("word", "lang").limit(200_000).collect():  # the lexicon is a table of fixed size
         common.setdefault(r.lang, set()).add(r.word)
@@ -214,9 +217,9 @@ def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
         everyone = frozenset().union(*common.values()) if common else frozenset()
         for batch in batches:
             rows = []
-            for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, lang, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None or not text.strip():
-                    rows.append((doc, lang) + (None,) * (len(STATS) + 4))
+                    rows.append((doc, lang, digest) + (None,) * (len(STATS) + 4))
                     continue
                 words = [w.lower() for w in _WORDS.findall(text)]
                 n, size = len(words), len(text)
@@ -227,15 +230,19 @@ def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
                 known = common.get(lang, everyone)
                 table, items = structure(text)
                 rows.append((
-                    doc, lang, float(n), round(letters / n, 3) if n else 0.0, round(1 - (letters + spaces + digits) / size, 3), round(digits / size, 3),
+                    doc, lang, digest, float(n), round(letters / n, 3) if n else 0.0, round(1 - (letters + spaces + digits) / size, 3), round(digits / size, 3),
                     round(sum(1 for x in lines if _ENDS.search(x.rstrip())) / len(lines), 3), round(sum(1 for w in words if w in known) / n, 3) if n else 0.0,
                     round(len(set(words)) / n, 3) if n else 0.0, round(n / len(lines), 3), round(table, 3), round(items, 3),
                     round(junk_share(text, words, digits), 3), round(disorder(words, text, pairs, vocabulary), 3),
                 ))
-            kinds = [pa.int64(), pa.string()] + [pa.float64()] * (len(STATS) + 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["doc_id", "lang", *STATS, "table_share", "list_share", "junk", "disorder"])
+            kinds = [pa.int64(), pa.string(), pa.binary()] + [pa.float64()] * (len(STATS) + 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["doc_id", "lang", "digest", *STATS, "table_share", "list_share", "junk", "disorder"])
 
-    return base.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} double" for c in [*STATS, "table_share", "list_share", "junk", "disorder"]))
+    return base.mapInArrow(run, "doc_id long, lang string, digest binary, " + ", ".join(f"{c} double" for c in [*STATS, "table_share", "list_share", "junk", "disorder"]))
+
+
+#: Name of the group of all languages in the ranks; no tag has such a sign.
+ALL = "*"
 
 
 def exact_ranks(values: DataFrame, keys: list[str], value: str, count: str, partitions: int | None = None) -> DataFrame:
@@ -275,30 +282,45 @@ def exact_ranks(values: DataFrame, keys: list[str], value: str, count: str, part
     return local.join(broadcast_if_small(offsets), [*keys, "__part"]).select(*order, F.col("__n").alias(count), (F.col("__below") + F.col("__offset")).alias("below"), "total")
 
 
-def outlier_scores(stats: DataFrame) -> DataFrame:
-    """``doc_id, score``: the summed surprise of the statistics of every document that has a text.
-
-    The surprise of a value is ``-ln`` of the smaller of the two tail probabilities (values at most, at least as
-    large) within its language, so ties share one probability and a language of one document has no surprise.
-    """
-    cells = stats.where(F.col("n_words").isNotNull()).select("doc_id", "lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(STATS)])).alias("c")).select("doc_id", "lang", "c.stat", "c.value")
+def _text_scores(stats: DataFrame, min_texts: int) -> DataFrame:
+    """``lang, digest, score`` of the distinct texts of every language."""
+    # copies in one language have the same statistics; min() only picks them
+    texts = written(stats.where(F.col("n_words").isNotNull()).groupBy("lang", "digest").agg(*[F.min(c).alias(c) for c in STATS]), "texts")
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    few = broadcast_if_small(sizes.where(F.col("n") < min_texts).select("lang", F.lit(ALL).alias("__all")))
+    cells = texts.select("lang", "digest", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(STATS)])).alias("c")).select("lang", "digest", "c.stat", "c.value")
     counts = cells.groupBy("lang", "stat", "value").agg(F.count("*").alias("n"))
+    if not few.isEmpty():
+        # a text that stands in several languages is one text here, but for a statistic that depends on the language
+        everywhere = cells.select("digest", "stat", "value").distinct().groupBy("stat", "value").agg(F.count("*").alias("n"))
+        counts = counts.join(few, "lang", "left_anti").unionByName(everywhere.withColumn("lang", F.lit(ALL)))
     ranks = exact_ranks(counts, ["lang", "stat"], "value", "n")
     tail = F.least((F.col("below") + F.col("n")) / F.col("total"), (F.col("total") - F.col("below")) / F.col("total"))
-    surprise = ranks.select("lang", "stat", "value", (-F.log(tail)).alias("surprise"))
-    return cells.join(broadcast_if_small(surprise), ["lang", "stat", "value"]).groupBy("doc_id").agg(F.round(F.sum("surprise"), 6).alias("score"))
+    surprise = ranks.select(F.col("lang").alias("among"), "stat", "value", (-F.log(tail)).alias("surprise"))
+    placed = cells.join(few, "lang", "left").withColumn("among", F.coalesce("__all", "lang"))
+    return placed.join(broadcast_if_small(surprise), ["among", "stat", "value"]).groupBy("lang", "digest").agg(F.round(F.sum("surprise"), 6).alias("score"))
+
+
+def outlier_scores(stats: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """``doc_id, score``: the summed surprise of the statistics of every document that has a text, one row per document.
+
+    The surprise of a value is ``-ln`` of the smaller of the two tail probabilities (values at most, at least as
+    large) among the distinct texts of its language, so copies count once, however many there are, and ties share one
+    probability. Texts of a language with fewer than ``min_texts`` distinct ones are ranked among those of all languages.
+    """
+    return stats.where(F.col("n_words").isNotNull()).join(_text_scores(stats, min_texts), ["lang", "digest"]).select("doc_id", "score")
 
 
 def kinds(stats: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """p9: ``doc_id, kind`` of the documents that are no prose: outliers whose structure is junk, a table or a list."""
     stats = written(stats, "quality")
-    # every row of a repeated id has its own score: the ids are those of rows
-    scores = outlier_scores(stats)
+    scores = _text_scores(stats, MIN_TEXTS)
     kind = (
         F.when(F.col("junk") >= 0.5, "junk")
         .when(F.col("table_share") >= 0.5, "table")
         .when(F.col("list_share") >= 0.5, "list")
         .when(F.col("disorder") >= MAX_DISORDER, "junk")
     )
-    found = stats.select("doc_id", kind.alias("kind")).where(F.col("kind").isNotNull())
-    return found.join(scores.where(F.col("score") >= min_score).select("doc_id"), "doc_id", "left_semi")
+    found = stats.select("doc_id", "lang", "digest", kind.alias("kind")).where(F.col("kind").isNotNull())
+    # by text, not by id: every row of a repeated id has its own score
+    return found.join(scores.where(F.col("score") >= min_score), ["lang", "digest"], "left_semi").select("doc_id", "kind")

@@ -11,7 +11,7 @@ from strandline.llm.quality import kinds, outlier_scores, statistics
 from strandline.llm.scans import repaired
 from strandline.llm.sentences import sentences
 from strandline.llm.tokens import encode_corpus
-from strandline.session import table
+from strandline.session import table, written
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,11 +48,11 @@ def p9_found(spark, sf_dir):
 
 
 def p9_statistics(spark, sf_dir):
-    return statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
+    return statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")).drop("digest")
 
 
 def p9_outliers(spark, sf_dir):
-    return outlier_scores(statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")))
+    return outlier_scores(written(statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")), "quality"))
 
 
 QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p9_outliers": p9_outliers, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}

@@ -176,3 +176,19 @@ def test_kinds(spark):
     got = {r.doc_id: r.kind for r in quality.kinds(stats, 3.0).collect()}
     assert got == {100: "list", 101: "table", 102: "junk", 103: "junk", 107: "junk", 109: "junk"}
     assert quality.kinds(quality.statistics(df.limit(0), lex)).count() == 0
+
+
+def test_kinds_of_copied_texts_and_rare_languages(spark):
+    rng = random.Random(5)
+    nouns = "market town river spring people harvest road village winter trade field school".split()
+    prose = lambda n: " ".join(f"The {rng.choice(nouns)} of the {rng.choice(nouns)} fell {rng.choice(['again', 'late', 'early'])} in {rng.randint(1990, 2020)}, and the {rng.choice(nouns)} did not come back to it." for _ in range(n))
+    menu = "Home | Menu | Login | Next | Search | Print | Home | Menu | Contact | About | Top | Share"
+    docs = [(i, prose(rng.randint(2, 4)), "en") for i in range(120)] + [(i, menu, "en") for i in range(200, 320)]  # one junk text holds half of the rows
+    docs += [(400, "error 404 " * 200, "xx"), (401, menu, "yy"), (402, prose(3), "yy"), (200, prose(3), "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lex = spark.createDataFrame([("the", "en", True), ("of", "en", True)], "word string, lang string, is_common boolean")
+    stats = quality.statistics(df, lex)
+    got = sorted((r.doc_id, r.kind) for r in quality.kinds(stats).collect())
+    assert got == [(i, "junk") for i in [*range(200, 320), 400, 401]]
+    scores = quality.outlier_scores(stats).collect()
+    assert len(scores) == len(docs) and len({r.score for r in scores if 200 < r.doc_id < 320}) == 1
