@@ -1,6 +1,7 @@
 """Per-document quality figures, outlier scores from exact per-language ranks, and the kind of texts that are not prose.
 
-1. One narrow Arrow stage computes the statistics of every document and the shares of its text that are list
+1. Words and neighbours are counted over all distinct texts, per language and combined map-side; the frequent ones
+   are the word order model. One narrow Arrow stage then computes the statistics of every document and the shares of its text that are list
    items, table rows or junk of a known form.
 2. Copies of a text within a language are collapsed. The distinct values of each statistic and language are counted
    over the texts left (map-side combined), range-partitioned, sorted and cumulated; the totals of the partitions
@@ -14,7 +15,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ def junk_share(text: str, words: list[str], digits: int) -> float:
 
 
 def disorder(words: list[str], text: str, pairs: frozenset, vocabulary: frozenset) -> float:
-    """Share of neighbouring known words that never stand together in the fitted sample; 0 where too few are known."""
+    """Share of neighbouring known words that are no frequent neighbours in their language; 0 where too few are known."""
     seen = missing = 0
     for a, b in zip(words, words[1:]):
         if a in vocabulary and b in vocabulary:
@@ -178,20 +179,62 @@ def disorder(words: list[str], text: str, pairs: frozenset, vocabulary: frozense
     return missing / seen if seen >= 12 else 0.0
 
 
-def word_pairs(texts: list[str], least: int = 3) -> tuple[frozenset, frozenset]:
-    """``(pairs, vocabulary)`` of a sample: words seen at least ``8 * least`` times and the neighbours among them."""
-    counts: Counter = Counter()
-    neighbours: Counter = Counter()
-    for t in texts:
-        w = [x.lower() for x in _WORDS.findall(t)]
-        counts.update(w)
-        neighbours.update(zip(w, w[1:]))
-    vocabulary = frozenset(w for w, n in counts.items() if n >= 8 * least)
-    return frozenset(p for p, n in neighbours.items() if n >= least and p[0] in vocabulary and p[1] in vocabulary), vocabulary
+#: Least count of a known word and of a known pair, and their least shares of the words of their language. The shares
+#: bound the model whatever the size of the corpus: a language has at most 1 / share of either.
+LEAST_WORD, LEAST_PAIR = 24, 3
+WORD_SHARE, PAIR_SHARE = 6e-5, 7.5e-6
+#: Known words and pairs of all languages up to which the model is sent to the workers.
+MAX_MODEL = 2_000_000
+#: Distinct words and pairs that a task counts before it passes them on.
+HELD = 500_000
 
 
-#: Documents on which the word order model is fitted: those with the smallest hashes of their ids.
-SAMPLE = 4_000
+def neighbour_counts(texts: DataFrame) -> DataFrame:
+    """``lang, a, b, n``: how often the words ``a`` and ``b`` stand together, and with null ``b`` how often ``a`` stands; ``texts(lang, digest, text)``.
+
+    Copies of a text within a language count once. Each task adds up its own counts before the shuffle.
+    """
+
+    def run(batches):
+        words, pairs = defaultdict(Counter), defaultdict(Counter)
+
+        def counted():
+            rows = [(lang, w, None, n) for lang, c in words.items() for w, n in c.items()] + [(lang, a, b, n) for lang, c in pairs.items() for (a, b), n in c.items()]
+            words.clear()
+            pairs.clear()
+            for k in range(0, len(rows), 50_000):
+                columns = zip(*rows[k : k + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "a", "b", "n"])
+
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                w = [x.lower() for x in _WORDS.findall(text)]
+                words[lang].update(w)
+                pairs[lang].update(zip(w, w[1:]))
+            if sum(map(len, words.values())) + sum(map(len, pairs.values())) > HELD:
+                yield from counted()
+        yield from counted()
+
+    distinct = texts.where(F.col("text").isNotNull()).dropDuplicates(["lang", "digest"]).select("lang", "text")
+    return distinct.mapInArrow(run, "lang string, a string, b string, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def word_order(texts: DataFrame) -> dict[str, tuple[frozenset, frozenset]]:
+    """``lang -> (pairs, vocabulary)`` of all texts: the frequent words of each language and the frequent pairs among them."""
+    counts = written(neighbour_counts(texts), "neighbours")
+    sizes = counts.where("b IS NULL").groupBy("lang").agg(F.sum("n").alias("size"))
+    least = F.when(F.col("b").isNull(), F.greatest(F.lit(LEAST_WORD), WORD_SHARE * F.col("size"))).otherwise(F.greatest(F.lit(LEAST_PAIR), PAIR_SHARE * F.col("size")))
+    rows = counts.join(broadcast_if_small(sizes), "lang").where(F.col("n") >= least).select("lang", "a", "b").limit(MAX_MODEL + 1).collect()
+    if len(rows) > MAX_MODEL:
+        raise ValueError(f"the word order model has more than {MAX_MODEL} words and pairs: the texts have too many language tags")
+    vocabulary, pairs = defaultdict(set), defaultdict(set)
+    for r in rows:
+        if r.b is None:
+            vocabulary[r.lang].add(r.a)
+    for r in rows:
+        if r.b is not None and r.a in vocabulary[r.lang] and r.b in vocabulary[r.lang]:
+            pairs[r.lang].add((r.a, r.b))
+    return {lang: (frozenset(pairs[lang]), frozenset(v)) for lang, v in vocabulary.items()}
 
 
 def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -206,14 +249,10 @@ def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     common: dict[str, set] = {}
     for r in lexicon.where("is_common").select("word", "lang").limit(200_000).collect():  # the lexicon is a table of fixed size
         common.setdefault(r.lang, set()).add(r.word)
-    total = base.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    sample = base.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) & F.col("text").isNotNull()).select("text").limit(2 * SAMPLE)
-    pairs, vocabulary = word_pairs([r.text for r in sample.collect()])
-    shared = spark.sparkContext.broadcast(({k: frozenset(v) for k, v in common.items()}, pairs, vocabulary))
+    shared = spark.sparkContext.broadcast(({k: frozenset(v) for k, v in common.items()}, word_order(base)))
 
     def run(batches):
-        common, pairs, vocabulary = shared.value
+        common, model = shared.value
         everyone = frozenset().union(*common.values()) if common else frozenset()
         for batch in batches:
             rows = []
@@ -233,7 +272,7 @@ def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
                     doc, lang, digest, float(n), round(letters / n, 3) if n else 0.0, round(1 - (letters + spaces + digits) / size, 3), round(digits / size, 3),
                     round(sum(1 for x in lines if _ENDS.search(x.rstrip())) / len(lines), 3), round(sum(1 for w in words if w in known) / n, 3) if n else 0.0,
                     round(len(set(words)) / n, 3) if n else 0.0, round(n / len(lines), 3), round(table, 3), round(items, 3),
-                    round(junk_share(text, words, digits), 3), round(disorder(words, text, pairs, vocabulary), 3),
+                    round(junk_share(text, words, digits), 3), round(disorder(words, text, *model.get(lang, (frozenset(), frozenset()))), 3),
                 ))
             kinds = [pa.int64(), pa.string(), pa.binary()] + [pa.float64()] * (len(STATS) + 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["doc_id", "lang", "digest", *STATS, "table_share", "list_share", "junk", "disorder"])

@@ -192,3 +192,24 @@ def test_kinds_of_copied_texts_and_rare_languages(spark):
     assert got == [(i, "junk") for i in [*range(200, 320), 400, 401]]
     scores = quality.outlier_scores(stats).collect()
     assert len(scores) == len(docs) and len({r.score for r in scores if 200 < r.doc_id < 320}) == 1
+
+
+def test_word_order_covers_all_texts_of_a_language(spark):
+    rng = random.Random(3)
+    line = "bara dono kelu mira tosa venu lipa goru hafe".split()
+    rare = [" ".join(line[i % 9] for i in range(k, k + 18)) for k in range(9)]  # the words in their order
+    mixed = " ".join(2 * line[::-1])
+    docs = [(i, f"note {rng.randrange(10**9)}", "en") for i in range(12_000)]  # a bounded sample is mostly these
+    docs += [(20_000 + i, f"{rare[i % 9]} x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}", "yo") for i in range(30)]
+    docs += [(30_000 + i, mixed, "yo") for i in range(4)]  # copies are no evidence for their own order
+    lex = spark.createDataFrame([("the", "en", True)], "word string, lang string, is_common boolean")
+    stats = quality.statistics(spark.createDataFrame(docs, "doc_id long, text string, lang string"), lex)
+    got = {r.doc_id: r.disorder for r in stats.where("lang = 'yo'").collect()}
+    assert all(got[30_000 + i] == 1.0 for i in range(4)) and all(got[20_000 + i] < 0.1 for i in range(30))
+
+
+def test_neighbour_counts(spark, monkeypatch):
+    texts = [("en", "a b a b"), ("en", "b a"), ("en", "a b a b"), ("fr", "a b a b"), ("en", None)]
+    df = spark.createDataFrame(texts, "lang string, text string").selectExpr("lang", "unhex(md5(text)) AS digest", "text")
+    want = {("en", "a", None): 3, ("en", "b", None): 3, ("en", "a", "b"): 2, ("en", "b", "a"): 2, ("fr", "a", None): 2, ("fr", "b", None): 2, ("fr", "a", "b"): 2, ("fr", "b", "a"): 1}
+    assert {(r.lang, r.a, r.b): r.n for r in quality.neighbour_counts(df).collect()} == want
