@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scores import combined
@@ -15,6 +17,8 @@ from strandline.session import broadcast_if_small
 
 #: Nodes (or examples, or patterns) up to which a vocabulary is sent to all workers: it is a dimension, its size is checked.
 MAX_NODES = 200_000
+#: Nodes of a block of a searched table, and rows that are compared with it at a time.
+BLOCK, ROWS = 20_000, 1_000
 
 
 def _vocabulary(nodes: DataFrame, *columns: str):
@@ -55,9 +59,9 @@ def top_k(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", vector:
         against = [i for i, t in enumerate(table) if negative and t[2] is not None]
         minus = np.array([table[i][2] for i in against], dtype=np.float64)
         for batch in batches:
-            keep = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None]
+            present = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None]
             out: list[tuple] = []
-            if keep and names:
+            for keep in (present[i : i + ROWS] for i in range(0, len(present) if names else 0, ROWS)):
                 x = np.array([batch.column(1)[i].as_py() for i in keep], dtype=np.float64)
                 scores = x @ matrix.T
                 if against:
@@ -78,6 +82,21 @@ def top_k(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", vector:
     return rows.select(F.col(id_col).alias("id"), F.col(vector)).mapInArrow(run, f"id {kind}, node string, score double, rank int")
 
 
+def search(rows: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector: str = "vec", least: float | None = None, own: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """``id, node, score, rank`` as :func:`top_k` for a corpus of any size: its blocks are ranked one by one, the best of all merged.
+
+    ``own`` (of ``id``) is the node that a row itself is; it is left out of the row's result.
+    """
+    n = max(1, math.ceil(corpus.count() / block))
+    k_block = k if own is None else k + 1
+    parts = [top_k(rows, corpus.where(F.pmod(F.xxhash64("node"), F.lit(n)) == i), k_block, id_col, vector, least) for i in range(n)]
+    found = reduce(DataFrame.unionByName, parts)
+    if own is not None:
+        found = found.where(F.col("node") != own)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "node"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def exact(rows: DataFrame, nodes: DataFrame, id_col: str = "id", name: str = "name") -> DataFrame:
     """``id, node, score``: nodes whose canonical name (last part of the path, ``_`` as blank) is the row's name."""
     names = nodes.select("node", F.lower(F.replace(F.regexp_extract("node", r"([^/]+)/?$", 1), F.lit("_"), F.lit(" "))).alias("__name"))

@@ -351,6 +351,45 @@ def _(spark, d):
     return G.top_k(table(spark, d, "embeddings"), _nodes(spark, d, 0, 40).join(minus, "node"), 5, "vec_id", "embedding").select(F.col("id").alias("vec_id"), "node", "score")
 
 
+# The SQL of the vector queries names 40 fixed ids; these are the same searches of every vector among all others.
+
+
+def _every(spark, d):
+    return table(spark, d, "embeddings").select(F.format_string("n%03d", "vec_id").alias("node"), F.col("embedding").alias("node_vec"))
+
+
+def _neighbours(spark, d, k, nodes=None, least=None):
+    return G.search(table(spark, d, "embeddings"), _every(spark, d) if nodes is None else nodes, k, "vec_id", "embedding", least, own=F.format_string("n%03d", "id")).withColumnRenamed("id", "vec_id")
+
+
+@query("vec_dot_topk_all")
+def _(spark, d):
+    return _neighbours(spark, d, 10)
+
+
+@query("vec_threshold_slice_all")
+def _(spark, d):
+    return _neighbours(spark, d, 3, least=0.2).select("vec_id", "node", "score")
+
+
+@query("vec_neg_penalty_all")
+def _(spark, d):
+    minus = table(spark, d, "embeddings").select(F.format_string("n%03d", F.col("vec_id") - 40).alias("node"), F.col("embedding").alias("node_neg"))
+    return _neighbours(spark, d, 5, _every(spark, d).join(minus, "node", "left")).select("vec_id", "node", "score")
+
+
+@query("relevance_top1_all")
+def _(spark, d):
+    return _neighbours(spark, d, 1).select("vec_id", F.when(F.col("score") > 0.3, F.col("score")).otherwise(0.0).alias("relevance"))
+
+
+@query("mrr_eval_all")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    ranked = _neighbours(spark, d, 5).join(e.select(F.format_string("n%03d", "vec_id").alias("node"), F.col("label").alias("node_label")), "node")
+    return A.mean_reciprocal_rank(e.select("vec_id", "label"), ranked, "vec_id", "label", "node_label")
+
+
 SIMILARITY = "round(1 - levenshtein(lower(name), lower(example)) / greatest(length(name), length(example), 1), 6)"
 
 
