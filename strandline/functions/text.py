@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE_BREAK = r"[.!?]+\s+"
@@ -158,3 +158,20 @@ def matching_brackets(text: str) -> bool:
         if depth:
             return False
     return True
+
+
+def primary_tag(lang: Column) -> Column:
+    """The lower-case primary part of a language tag (``en`` of ``EN`` and ``en-XX``), ``und`` where it is null or has none."""
+    tag = F.lower(F.regexp_extract(F.trim(lang), "^[A-Za-z]+", 0))
+    return F.when(F.length(tag) > 0, tag).otherwise("und")
+
+
+#: Function words that the other languages of the same script do not have, and their least share in an English text.
+ENGLISH, ENGLISH_SHARE = ["the", "of", "and", "to", "that", "this", "from", "is", "for", "by"], 0.05
+
+
+def english(docs: DataFrame) -> DataFrame:
+    """The documents whose primary tag is ``en``, and of those without a tag the ones whose function words are English."""
+    w = words(F.col("text"))
+    share = F.size(F.filter(w, lambda x: x.isin(*ENGLISH))) / F.greatest(F.size(w), F.lit(1))
+    return docs.where((primary_tag(F.col("lang")) == "en") | (primary_tag(F.col("lang")) == "und") & (share >= ENGLISH_SHARE))

@@ -52,9 +52,23 @@ def _(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.size(X.paragraphs(F.col("text"))).cast("long")).alias("n_paragraphs"))
 
 
+def _by_lang(docs):
+    """Documents with their normalised tag, which the counts are grouped by."""
+    return docs.withColumn("lang", X.primary_tag(F.col("lang")))
+
+
+def _token_counts(docs, *keys):
+    return docs.select(*keys, F.explode(X.words(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+
+
+@query("token_counts_by_lang_all")
+def _(spark, d):
+    return _token_counts(_by_lang(table(spark, d, "documents")), "lang")
+
+
 @query("token_counts_by_lang", f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM documents WHERE lang = 'en') GROUP BY w")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select(F.explode(X.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return _token_counts(table(spark, d, "documents").where("lang = 'en'"))
 
 
 @query(
@@ -94,8 +108,17 @@ def _(spark, d):
     QUALIFY coalesce(max(stop) OVER (PARTITION BY doc_id, label ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= start""",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en' AND text IS NOT NULL").select("doc_id", X.words(F.col("text")).alias("w"))
-    return M.gazetteer(docs, ["doc_id"], F.col("w"), spark.createDataFrame(PHRASES, "phrase string, label string"))
+    return _gazetteer(table(spark, d, "documents").where("lang = 'en'"))
+
+
+def _gazetteer(docs):
+    words = docs.where("text IS NOT NULL").select("doc_id", X.words(F.col("text")).alias("w"))
+    return M.gazetteer(words, ["doc_id"], F.col("w"), docs.sparkSession.createDataFrame(PHRASES, "phrase string, label string"))
+
+
+@query("gazetteer_longest_match_all")
+def _(spark, d):
+    return _gazetteer(X.english(table(spark, d, "documents")))
 
 
 TRIGGERS = [("increase", "^(rose|rise|rising|increas|doubl|intensif|worsen|aggravat)"), ("decrease", "^(fall|fell|reduc|limit|lost|eas)"), ("cause", "^(caus|trigger|becaus|due|owing)")]
@@ -103,17 +126,35 @@ TRIGGERS = [("increase", "^(rose|rise|rising|increas|doubl|intensif|worsen|aggra
 
 @query("trigger_regex_classify", f"SELECT kind, count(*) AS n, count(DISTINCT w) AS n_words FROM (SELECT w, CASE {' '.join(f"WHEN regexp_matches(w, '{p}') THEN '{k}'" for k, p in TRIGGERS)} ELSE 'none' END AS kind FROM (SELECT unnest({WORDS}) AS w FROM documents WHERE lang = 'en')) GROUP BY kind")
 def _(spark, d):
-    w = table(spark, d, "documents").where("lang = 'en'").select(F.explode(X.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    return _trigger_kinds(table(spark, d, "documents").where("lang = 'en'"))
+
+
+def _trigger_kinds(docs, *keys):
+    w = docs.select(*keys, F.explode(X.words(F.col("text"))).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
     kind = F.lit("none")
     for k, p in reversed(TRIGGERS):
         kind = F.when(F.col("w").rlike(p), k).otherwise(kind)
-    return w.groupBy(kind.alias("kind")).agg(F.sum("c").alias("n"), F.count("*").alias("n_words"))
+    return w.groupBy(*keys, kind.alias("kind")).agg(F.sum("c").alias("n"), F.count("*").alias("n_words"))
+
+
+@query("trigger_regex_classify_all")
+def _(spark, d):
+    return _trigger_kinds(_by_lang(table(spark, d, "documents")), "lang")
 
 
 @query("token_pattern_bigram", f"SELECT a, b, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT {WORDS} AS w, unnest(range(1, len({WORDS}))) AS i FROM documents WHERE lang = 'en')) WHERE b IN ('of', 'to', 'by') GROUP BY a, b")
 def _(spark, d):
-    pairs = table(spark, d, "documents").where("lang = 'en'").select(X.words(F.col("text")).alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p"))
-    return pairs.select("p.a", "p.b").where(F.col("b").isin("of", "to", "by")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return _bigrams(table(spark, d, "documents").where("lang = 'en'"))
+
+
+def _bigrams(docs, *keys):
+    pairs = docs.select(*keys, X.words(F.col("text")).alias("w")).select(*keys, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p"))
+    return pairs.select(*keys, "p.a", "p.b").where(F.col("b").isin("of", "to", "by")).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
+
+
+@query("token_pattern_bigram_all")
+def _(spark, d):
+    return _bigrams(_by_lang(table(spark, d, "documents")), "lang")
 
 
 @query(
@@ -123,16 +164,34 @@ def _(spark, d):
       FROM (SELECT doc_id, regexp_extract_all(lower(s), '[a-z]+') AS w FROM (SELECT doc_id, unnest({SENTENCES}) AS s FROM documents WHERE lang = 'en'))) GROUP BY doc_id""",
 )
 def _(spark, d):
-    s = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    return _negation(table(spark, d, "documents").where("lang = 'en'"))
+
+
+def _negation(docs):
+    s = docs.select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
     return s.groupBy("doc_id").agg(F.count_if(M.negated(X.words(F.col("s")), NEGATORS, NEGATED_PAIRS)).alias("negated"), F.count("*").alias("sentences"))
 
 
+@query("negation_parity_all")
+def _(spark, d):
+    return _negation(X.english(table(spark, d, "documents")))
+
+
 @query("hedging_scan", f"SELECT hint, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_filter({WORDS}, lambda x: x IN ({quoted(HINTS)}))) AS hint FROM documents WHERE lang = 'en') GROUP BY hint")
 def _(spark, d):
-    h = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(M.hedges(X.words(F.col("text")), HINTS)).alias("hint"))
+    return _hedges(table(spark, d, "documents").where("lang = 'en'"))
+
+
+def _hedges(docs):
+    h = docs.select("doc_id", F.explode(M.hedges(X.words(F.col("text")), HINTS)).alias("hint"))
     return h.groupBy("hint", "doc_id").agg(F.count("*").alias("c")).groupBy("hint").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
 
 
+@query("hedging_scan_all")
+def _(spark, d):
+    return _hedges(X.english(table(spark, d, "documents")))
+
+
 @query(
     "coref_previous_sentence",
     """SELECT a.document_id, a.extraction_id AS anaphor_id, l.extraction_id AS antecedent_id FROM extractions a JOIN (
@@ -642,18 +701,27 @@ CONNECTIVES = ["because of", "due to", "owing to"]
 
 @query("rule_mentions", f"SELECT text, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS text FROM (SELECT {WORDS} AS w, unnest(range(1, len({WORDS}) - 1)) AS i FROM documents WHERE lang = 'en')) WHERE text IN ({quoted(CONNECTIVES)}) GROUP BY text")
 def _(spark, d):
+    return _connectives(table(spark, d, "documents").where("lang = 'en'"))
+
+
+def _connectives(docs):
     from strandline.operators.rules import find_mentions
 
     rule = {"name": "connective", "label": "Connective", "type": "token", "pattern": "(?<trigger> " + "|".join(CONNECTIVES) + ") (?= [])"}
-    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("sent_key"), F.transform(X.words(F.col("text")), lambda w: F.struct(w.alias("word"))).alias("tokens"), F.expr("cast(array() AS array<struct<src:int,dst:int,rel:string>>)").alias("edges"))
-    return find_mentions(docs, [rule]).where("label = 'Connective'").groupBy("text").agg(F.count("*").alias("n"))
+    tokens = docs.select(F.col("doc_id").cast("string").alias("sent_key"), F.transform(X.words(F.col("text")), lambda w: F.struct(w.alias("word"))).alias("tokens"), F.expr("cast(array() AS array<struct<src:int,dst:int,rel:string>>)").alias("edges"))
+    return find_mentions(tokens, [rule]).where("label = 'Connective'").groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("rule_mentions_all")
+def _(spark, d):
+    return _connectives(X.english(table(spark, d, "documents")))
 
 
 @query("annotated_tokens")
 def _(spark, d):
     from strandline.functions.annotate import sentences
 
-    s = sentences(table(spark, d, "documents").where("lang = 'en'"))
+    s = sentences(X.english(table(spark, d, "documents")))
     return s.select(F.explode("tokens.tag").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -661,14 +729,14 @@ def _(spark, d):
 def _(spark, d):
     from strandline.plans import pipeline
 
-    return pipeline.edges(pipeline.mentions(table(spark, d, "documents").where("lang = 'en'")))
+    return pipeline.edges(pipeline.mentions(X.english(table(spark, d, "documents"))))
 
 
 @query("causal_graph")
 def _(spark, d):
     from strandline.plans import pipeline
 
-    return pipeline.causal_graph(pipeline.edges(pipeline.mentions(table(spark, d, "documents").where("lang = 'en'"))))
+    return pipeline.causal_graph(pipeline.edges(pipeline.mentions(X.english(table(spark, d, "documents")))))
 
 
 @query("compositional_slots")
@@ -683,7 +751,7 @@ def _(spark, d):
 def _(spark, d):
     from strandline.operators.context import times
 
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", F.to_date("published_at").alias("dct"))
+    docs = X.english(table(spark, d, "documents")).select("doc_id", "text", F.to_date("published_at").alias("dct"))
     return times(docs).select("doc_id", "start", "stop", "text", F.col("begins").cast("string").alias("begins"), F.col("ends").cast("string").alias("ends"))
 
 
@@ -692,4 +760,4 @@ def _(spark, d):
     from strandline.plans import pipeline
     from strandline.sources.exporters import annotation_sheet
 
-    return annotation_sheet(pipeline.edges(pipeline.mentions(table(spark, d, "documents").where("lang = 'en'"))))
+    return annotation_sheet(pipeline.edges(pipeline.mentions(X.english(table(spark, d, "documents")))))
