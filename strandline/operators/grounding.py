@@ -204,22 +204,18 @@ def blend(vectors: DataFrame, examples: DataFrame, weight: float = 0.75) -> Data
     return both.select("id", "node", F.round(combined(F.coalesce("v", F.lit(0.0)), F.coalesce("e", F.lit(0.0)), weight), 6).alias("score"))
 
 
-def map_nodes(left: DataFrame, right: DataFrame, k: int, weights: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
+def map_nodes(left: DataFrame, right: DataFrame, k: int, weights: tuple[float, float] = (0.8, 0.1), block: int = BLOCK) -> DataFrame:
     """``id, node, score``: the ``k`` nodes of another vocabulary for each node (``node, vec, parents array<vec>``).
 
-    Own similarity plus that of the parents, from the nearest on, the i-th counted ``1 / (i + 1)``. Ties by node.
+    Own similarity plus that of the parents, from the nearest on, the i-th counted ``1 / (i + 1)``. Ties by node. The
+    weighted sum is one product of the vectors laid end to end, so both sides may be of any size (:func:`search`).
     """
-    shared = _vocabulary(right, "node", "vec", "parents")
+    depth = min(df.agg(F.max(F.size("parents"))).first()[0] or 0 for df in (left, right))
 
-    def score(values):
-        out = []
-        for i, v in enumerate(values):
-            scored = []
-            for name, vec, parents in shared.value:
-                own = float(np.dot(np.asarray(v["vec"], float), np.asarray(vec, float)))
-                up = sum(float(np.dot(np.asarray(a, float), np.asarray(b, float))) / (d + 2) for d, (a, b) in enumerate(zip(v["parents"] or [], parents or [])))
-                scored.append((-round(weights[0] * own + weights[1] * up, 6), name))
-            out += [(i, n, -s) for s, n in heapq.nsmallest(k, scored)]
-        return out
+    def laid(df, own, up):
+        parents = [F.coalesce(F.transform(F.get("parents", F.lit(i)), lambda x: x * F.lit(w)), F.transform("vec", lambda x: F.lit(0.0))) for i, w in enumerate(up)]
+        return df.select("node", F.concat(F.transform("vec", lambda x: x * F.lit(own)), *parents).alias("node_vec"))
 
-    return _compared(left.select("node", F.struct("vec", "parents").alias("both")), "node", "both", score, "string")
+    ones = [1.0] * max(0, depth)
+    weighted = laid(left, weights[0], [weights[1] / (i + 2) for i in range(len(ones))])
+    return search(weighted, laid(right, 1.0, ones), k, "node", "node_vec", block=block).select("id", "node", "score")

@@ -504,10 +504,11 @@ def _(spark, d):
 
 @query("ontology_pairwise_map")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    # two vocabularies that share out the whole table: nodes of odd labels and all others
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
     parent = e.select(F.col("vec_id").alias("p"), F.array("vec").alias("parents"))
-    nodes = e.join(parent, F.col("p") == F.floor(F.col("vec_id") / 10)).select(F.format_string("n%03d", "vec_id").alias("node"), "vec", "parents", "vec_id")
-    return G.map_nodes(nodes.where("vec_id < 100").drop("vec_id"), nodes.where("vec_id >= 100 AND vec_id < 200").drop("vec_id"), 3)
+    nodes = e.join(parent, F.col("p") == F.floor(F.col("vec_id") / 10), "left").select(F.format_string("n%03d", "vec_id").alias("node"), "vec", "parents", F.coalesce(F.pmod("label", F.lit(2)) == 1, F.lit(False)).alias("odd"))
+    return G.map_nodes(nodes.where("odd").drop("odd"), nodes.where("NOT odd").drop("odd"), 3)
 
 
 ADJECTIVES = [("heavy", 0.1, 0.02, 0.3), ("severe", 0.4, 0.03, 0.2), ("rising", -0.2, 0.01, 0.1), ("weak", -0.5, 0.02, 0.05)]

@@ -62,3 +62,18 @@ def test_blocks_give_the_same_result(spark, small):
     nodes = e.selectExpr("format_string('n%03d', vec_id) AS node", "embedding AS node_vec")
     one, many = (sorted(map(tuple, G.search(e, nodes, 4, "vec_id", "embedding", block=b).collect())) for b in (10**6, 70))
     assert one == many and len(one) == 4 * e.count()
+
+
+def test_every_node_is_mapped(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    vec = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in rows}
+    right = [r.vec_id for r in rows if r.label % 2 == 0]
+    want = {}
+    for r in rows:
+        if r.label % 2:
+            scored = [(-round(0.8 * (vec[r.vec_id] @ vec[b]) + 0.1 * (vec[r.vec_id // 10] @ vec[b // 10]) / 2, 6), f"n{b:03d}") for b in right]
+            want[f"n{r.vec_id:03d}"] = [(n, -s) for s, n in sorted(scored)[:3]]
+    got = {}
+    for r in QUERIES["ontology_pairwise_map"](spark, small).collect():
+        got.setdefault(r.id, []).append((r.node, r.score))
+    assert same({v: sorted(b, key=lambda p: (-p[1], p[0])) for v, b in got.items()}, want)
