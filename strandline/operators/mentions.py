@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.session import broadcast_if_small
+from strandline.session import broadcast_if_small, cut
 
 
 def numbered_tokens(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
@@ -128,14 +128,20 @@ def relevant(edges: DataFrame, mentions: DataFrame, arguments: DataFrame, labels
     return mentions.join(arguments.join(kept, "edge_id", "left_semi").select("mention_id").distinct(), "mention_id", "left_semi")
 
 
-def reachable(arguments: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
-    """``root, mention_id``: every mention reachable over ``arguments(mention_id, argument_id)`` within ``depth`` steps, once."""
-    found = roots.select(F.col("mention_id").alias("root"), "mention_id").distinct()
-    level = found
-    for _ in range(depth):
-        level = level.join(arguments, "mention_id").select("root", F.col("argument_id").alias("mention_id")).distinct()
+def reachable(arguments: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """``root, mention_id``: every mention reachable over ``arguments(mention_id, argument_id)``, once; within ``depth`` steps if given.
+
+    Each step keeps only new rows, so it ends on cycles too; lineage is cut after each.
+    """
+    found = level = cut(roots.select(F.col("mention_id").alias("root"), "mention_id").distinct())
+    step = 0
+    while depth is None or step < depth:
+        level = cut(level.join(arguments, "mention_id").select("root", F.col("argument_id").alias("mention_id")).distinct().join(found, ["root", "mention_id"], "left_anti"))
+        if level.isEmpty():
+            break
         found = found.unionByName(level)
-    return found.distinct()
+        step += 1
+    return found
 
 
 def without_contained_events(df: DataFrame, keys: list[str], weight: str, args: str, tie: str) -> DataFrame:

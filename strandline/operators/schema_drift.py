@@ -227,7 +227,10 @@ def canonical_names(raw: DataFrame) -> dict[str, str]:
     edges = renames.limit(MAX_NAME_PAIRS + 1).collect()
     if len(edges) > MAX_NAME_PAIRS:
         raise ValueError(f"more than {MAX_NAME_PAIRS} distinct renames")
-    used = {r.key: r.n for r in profiles(raw).groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()}
+    counts = profiles(raw).groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()
+    if len(counts) > MAX_NAME_PAIRS:
+        raise ValueError(f"more than {MAX_NAME_PAIRS} distinct field names")
+    used = {r.key: r.n for r in counts}
     parent = {k: k for k in used}
 
     def root(k):
