@@ -1,114 +1,179 @@
 """Exactly one copy of messages that were delivered at least once.
 
-:class:`MessageStore` keeps the winners of all batches so far in history partitions (by order of arrival)
-plus an identifier index that says in which partition a message lies. A new batch looks up the partitions its
-identifiers touch, reads only those, recomputes the winners over them and the batch, writes them to new
-folders and replaces the manifest in one rename. Readers follow the manifest, so they see either all or none
-of a batch, and a run that dies leaves unreferenced folders only.
+:class:`MessageStore` keeps the winners of all batches so far in history partitions of bounded size. Every partition
+has an identifier index of its own (the hashes of its messages) and the range of its instants. A new batch is looked
+up in the indexes of the partitions whose range it touches; only partitions that hold one of its messages are read,
+combined with the batch, reduced to single winners and overwritten, together with their indexes. Messages that no
+partition holds go to new partitions. All of it becomes visible with the next manifest: manifests are numbered, and
+a number can be taken only once, so of two writers one has to start again from the other's result.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.timestamps import normalise
-from strandline.session import scratch_path
+from strandline.session import BROADCAST_ROWS, broadcast_if_small, scratch_path, scratched, written
 
-_SCHEMA = "id binary, instant bigint, arrival bigint, part int"
+_ROWS = "id binary, instant bigint, arrival bigint, copies bigint, home string"
+_INDEX = "key bigint, home string"
+#: Rows of a history partition; a batch with more new rows is spread over several.
+PART_ROWS = 4_000_000
+#: Times a batch is taken up again after another writer came first.
+ATTEMPTS = 5
+
+
+class Overtaken(RuntimeError):
+    """Another writer published the version this one was preparing."""
 
 
 def normal_id(raw: Column) -> Column:
     """Identifier without letter case, dashes and white space; 32 hex digits become 16 bytes. Null stays null."""
-    text = F.lower(F.regexp_replace(raw, r"[-\s ]+", ""))
+    text = F.lower(F.regexp_replace(raw, r"[-\s\x{a0}]+", ""))
     return F.when(text.rlike("^[0-9a-f]{32}$"), F.unhex(text)).otherwise(text.cast("binary"))
 
 
 class MessageStore:
-    """Deduplicated messages under ``path`` (a folder all executors share).
+    """Deduplicated messages under ``path`` (a folder all executors share, with atomic renames).
 
-    ``ingest`` takes rows ``id binary, instant bigint, arrival bigint, part int``: two rows are one message if
-    ``id`` and ``instant`` are equal; the lowest ``arrival`` (unique) wins. Rows with a null ``id`` or
-    ``instant`` are no message: they are neither stored nor reported. ``part`` is the history partition a row
-    would be kept in; the number of distinct parts is bounded by the caller (:data:`PARTS` in :func:`surplus_rows`).
+    ``ingest`` takes rows ``id binary, instant bigint, arrival bigint``: two rows are one message if ``id`` and
+    ``instant`` are equal; the lowest ``arrival`` (unique) wins. Rows with a null ``id`` or ``instant`` are no
+    message: they are neither stored nor reported. Other columns are not read; an empty batch changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._jvm, self._conf = jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    def __init__(self, spark: SparkSession, path: str, part_rows: int = PART_ROWS):
+        self.spark, self.path, self.part_rows = spark, path.rstrip("/"), part_rows
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def _hadoop(self, name: str):
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self._conf)
 
     def manifest(self) -> dict:
-        """Folders of the current version: ``{"parts": {part: [folder, ...]}, "index": [folder, ...], "surplus": [folder, ...]}``."""
-        path, fs = self._hadoop("MANIFEST.json")
-        if not fs.exists(path):
-            return {"parts": {}, "index": [], "surplus": []}
-        stream = fs.open(path)
+        """The newest version: ``{"version", "parts": {home: {"data", "index", "low", "high"}}, "surplus": [folder, ...]}``."""
+        path, fs = self._hadoop("manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        newest = max((n for n in names if n.startswith("v")), default=None)
+        if newest is None:
+            return {"version": 0, "parts": {}, "surplus": []}
+        stream = fs.open(self._hadoop(f"manifests/{newest}")[0])
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def _publish(self, manifest: dict) -> None:
-        new, fs = self._hadoop(f"MANIFEST.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
+        """Writes a manifest aside and renames it to its number; fails with :class:`Overtaken` where that number is taken."""
+        aside, fs = self._hadoop(f"manifests/.{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), self._conf)
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(new), fs.makeQualified(self._hadoop("MANIFEST.json")[0]), options)
+        final = self._hadoop(f"manifests/v{manifest['version']:012d}")[0]
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(final), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            fs.delete(aside, False)
+            if "FileAlreadyExists" in str(getattr(e, "java_exception", e)):
+                raise Overtaken(f"version {manifest['version']}") from e
+            raise
 
     def _read(self, folders: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def ingest(self, incoming: DataFrame) -> None:
-        """Adds one batch. Map-side combined per message, so a message with a third of all rows is no hot task."""
-        manifest, version = self.manifest(), f"v-{uuid.uuid4().hex}"
-        incoming = incoming.where(F.col("id").isNotNull() & F.col("instant").isNotNull()).select("id", "instant", "arrival", "part")
-        incoming.write.parquet(f"{self.path}/{version}/incoming")
-        incoming = self._read([f"{self.path}/{version}/incoming"], _SCHEMA)
-        affected: list[int] = []
-        if manifest["index"]:
-            keys = incoming.select(F.xxhash64("id", "instant").alias("key")).distinct()
-            index = self._read(manifest["index"], "key bigint, part int")
-            affected = [r.part for r in index.join(keys, "key", "left_semi").select("part").distinct().collect()]  # at most the number of parts
-        history = self._read([f for p in affected for f in manifest["parts"][str(p)]], _SCHEMA)
-        rows = history.unionByName(incoming)
-        winners = rows.groupBy("id", "instant").agg(F.min(F.struct("arrival", "part")).alias("w")).select("id", "instant", "w.arrival", "w.part")
-        winners.write.partitionBy("part").parquet(f"{self.path}/{version}/data")
-        kept = self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/{version}/data")
-        # arrival is unique, so this join has no hot key
-        rows.join(kept.select("arrival"), "arrival", "left_anti").select("arrival").write.parquet(f"{self.path}/{version}/surplus")
-        kept.select(F.xxhash64("id", "instant").alias("key"), "part").write.parquet(f"{self.path}/{version}/index")
-        for p in affected:
-            manifest["parts"][str(p)] = []
-        for (p,) in kept.select("part").distinct().collect():
-            manifest["parts"].setdefault(str(p), []).append(f"{self.path}/{version}/data/part={p}")
-        # index entries of overwritten partitions stay: a stale entry at worst names a partition once too often
-        manifest["index"].append(f"{self.path}/{version}/index")
-        manifest["surplus"].append(f"{self.path}/{version}/surplus")
-        self._publish(manifest)
+        """Adds one batch, whole or not at all. ``incoming`` is read several times: write a dear one first.
+
+        Copies are combined map-side per message, so a message with a third of all rows is no hot task.
+        """
+        rows = incoming.where(F.col("id").isNotNull() & F.col("instant").isNotNull()).select("id", "instant", "arrival")
+        size = rows.agg(F.count("*").alias("n"), F.min("instant").alias("low"), F.max("instant").alias("high")).first()
+        if not size.n:
+            return
+        for attempt in range(ATTEMPTS):
+            try:
+                return self._publish(self._next(self.manifest(), rows, size))
+            except Overtaken:
+                if attempt == ATTEMPTS - 1:
+                    raise
+
+    def _affected(self, parts: dict, rows: DataFrame, size) -> list[str]:
+        """Partitions that hold a message of the batch, by the identifier indexes of those whose instants it touches."""
+        near = [p["index"] for p in parts.values() if p["low"] <= size.high and p["high"] >= size.low]
+        if not near:
+            return []
+        keys = rows.select(F.xxhash64("id", "instant").alias("key"))
+        keys = F.broadcast(keys) if size.n <= BROADCAST_ROWS else keys
+        # at most as many rows as there are partitions
+        return [r.home for r in self._read(near, _INDEX).join(keys, "key", "left_semi").select("home").distinct().collect()]
+
+    def _next(self, manifest: dict, rows: DataFrame, size) -> dict:
+        """Writes the folders of the next version and returns its manifest."""
+        parts, tag = dict(manifest["parts"]), uuid.uuid4().hex[:16]
+        root = f"{self.path}/v{manifest['version'] + 1:012d}-{tag}"
+        affected = self._affected(parts, rows, size)
+        history = self._read([parts[h]["data"] for h in affected], _ROWS)
+        spread = max(1, math.ceil(size.n / self.part_rows))
+        new_home = F.concat(F.lit(f"{tag}-"), F.pmod(F.xxhash64("id", "instant"), F.lit(spread)).cast("string"))
+        every = history.unionByName(rows.withColumn("copies", F.lit(1).cast("bigint")).withColumn("home", F.lit(None).cast("string")))
+        # a message lies in one partition at most, so its home is the only one that is not null
+        winners = every.groupBy("id", "instant").agg(F.min("arrival").alias("arrival"), F.sum("copies").alias("copies"), F.max("home").alias("home"), F.count("*").alias("seen"))
+        winners = winners.withColumn("home", F.coalesce("home", new_home)).withColumn("folder", F.col("home"))
+        winners.write.partitionBy("folder").parquet(f"{root}/data")
+        kept = self._read([f"{root}/data"], _ROWS + ", seen bigint, folder string")
+        kept.select(F.xxhash64("id", "instant").alias("key"), "home", "folder").write.partitionBy("folder").parquet(f"{root}/index")
+        ranges = kept.groupBy("home").agg(F.min("instant").alias("low"), F.max("instant").alias("high"), F.count_if(F.col("seen") > 1).alias("again")).collect()  # one row per written partition
+        again = sum(r.again for r in ranges)
+        if again:
+            self._losers(every, kept.where("seen > 1"), again).write.parquet(f"{root}/surplus")
+        for r in ranges:
+            parts[r.home] = {"data": f"{root}/data/folder={r.home}", "index": f"{root}/index/folder={r.home}", "low": r.low, "high": r.high}
+        return {"version": manifest["version"] + 1, "parts": parts, "surplus": manifest["surplus"] + ([f"{root}/surplus"] if again else [])}
+
+    @staticmethod
+    def _losers(every: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+        """``arrival`` of the rows that lost. Few repeated messages are broadcast; many are joined on the unique arrival, which has no hot key."""
+        if n <= BROADCAST_ROWS:
+            best = F.broadcast(repeated.select("id", "instant", F.col("arrival").alias("best")))
+            return every.join(best, ["id", "instant"]).where("arrival <> best").select("arrival")
+        once = repeated.select(F.xxhash64("id", "instant").alias("key")).distinct()
+        mine = every.select("arrival", F.xxhash64("id", "instant").alias("key"))
+        # rows of repeated messages by a semi-join that is salted by arrival on the side of the rows
+        salted = once.select("key", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        copies = mine.withColumn("salt", F.pmod("arrival", F.lit(16)).cast("int")).join(salted, ["key", "salt"], "left_semi")
+        return copies.join(repeated.select("arrival"), "arrival", "left_anti").select("arrival")
 
     def messages(self) -> DataFrame:
-        """The winners: ``id, instant, arrival``."""
-        folders = [f for fs in self.manifest()["parts"].values() for f in fs]
-        return self._read(folders, "id binary, instant bigint, arrival bigint")
+        """The winners: ``id, instant, arrival, copies`` (the number of deliveries so far)."""
+        return self._read([p["data"] for p in self.manifest()["parts"].values()], _ROWS).drop("home")
 
     def surplus(self) -> DataFrame:
-        """``arrival`` of every row that lost against another of the same message."""
-        return self._read(self.manifest()["surplus"], "arrival bigint").distinct()
-
-
-#: History partitions that a full load is spread over.
-PARTS = 16
+        """``arrival`` of every row that lost against another of the same message: it loses once, so there are no repeats."""
+        return self._read(self.manifest()["surplus"], "arrival bigint")
+
+    def vacuum(self) -> int:
+        """Deletes folders and manifests that the newest version does not name, and returns their number; no reader of an older version and no writer may be at work."""
+        manifest = self.manifest()
+        used = {f for p in manifest["parts"].values() for f in (p["data"], p["index"])} | set(manifest["surplus"])
+        path, fs = self._hadoop("")
+        deleted = 0
+        for version in fs.listStatus(path):
+            name = version.getPath().getName()
+            if name == "manifests":
+                old = [f.getPath() for f in fs.listStatus(version.getPath()) if f.getPath().getName() != f"v{manifest['version']:012d}"]
+            else:
+                kinds = [k.getPath() for k in fs.listStatus(version.getPath())]
+                leaves = [f.getPath() for k in kinds if k.getName() != "surplus" for f in fs.listStatus(k) if f.isDirectory()] + [k for k in kinds if k.getName() == "surplus"]
+                old = [f for f in leaves if "/".join([self.path, *str(f.toString()).split("/")[-2 if f.getName() == "surplus" else -3 :]]) not in used]
+            for f in old:
+                fs.delete(f, True)
+                deleted += 1
+        return deleted
 
 
 def keyed(notices: DataFrame, teams: DataFrame) -> DataFrame:
@@ -117,21 +182,36 @@ def keyed(notices: DataFrame, teams: DataFrame) -> DataFrame:
     return n.select(normal_id(F.col("document_id")).alias("id"), F.col("utc_us").alias("instant"), F.col("delivery_no").alias("arrival"), "batch_no")
 
 
-def surplus_rows(notices: DataFrame, teams: DataFrame, loads: int = 2) -> DataFrame:
-    """p4: ``delivery_no`` of the surplus rows, by feeding the notices to a fresh store in ``loads`` batches.
+def stored(notices: DataFrame, teams: DataFrame, loads: int = 16) -> MessageStore:
+    """A fresh store that the notices were fed to in ``loads`` batches of neighbouring ``batch_no`` (a null one comes first).
 
-    Null or empty ids and timestamps that denote no instant never count; an empty table gives none. Extra and
-    clashing columns of ``notices`` are not touched: only the four needed ones are read.
+    The keys are computed and written once, by load; an empty table leaves an empty store.
     """
     spark = notices.sparkSession
+    rows = keyed(notices, teams)
     edge = notices.agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).first()
     lo, hi = (edge.lo or 0), (edge.hi or 0)
-    part = F.floor((F.coalesce("batch_no", F.lit(lo)) - lo) * PARTS / (hi - lo + 1)).cast("int")
+    load = F.floor((F.coalesce("batch_no", F.lit(lo)) - lo) * loads / (hi - lo + 1)).cast("int")
+    path = scratch_path(spark, "loads")
+    rows.withColumn("load", load).drop("batch_no").write.partitionBy("load").parquet(path)
+    scratched(spark, path)
+    fed = spark.read.schema("id binary, instant bigint, arrival bigint, load int").parquet(path)
     store = MessageStore(spark, scratch_path(spark, "messages"))
-    rows = keyed(notices, teams)
     for i in range(loads):
-        low, high = PARTS * i // loads, PARTS * (i + 1) // loads
-        first, last = lo + low * (hi - lo + 1) / PARTS, lo + high * (hi - lo + 1) / PARTS
-        mine = (F.coalesce("batch_no", F.lit(lo)) >= first) & (F.coalesce("batch_no", F.lit(lo)) < last)
-        store.ingest(rows.where(mine).withColumn("part", part))
-    return store.surplus().select(F.col("arrival").alias("delivery_no"))
+        store.ingest(fed.where(F.col("load") == i))
+    scratched(spark, store.path)
+    return store
+
+
+def surplus_rows(notices: DataFrame, teams: DataFrame, loads: int = 16) -> DataFrame:
+    """p4: ``delivery_no`` of the surplus rows, by feeding the notices to a fresh store in ``loads`` batches.
+
+    Null or empty ids and timestamps that denote no instant never count; an empty table gives none. Extra and
+    clashing columns of ``notices`` are not touched: only the five needed ones are read.
+    """
+    return stored(notices, teams, loads).surplus().select(F.col("arrival").alias("delivery_no"))
+
+
+def kept_rows(notices: DataFrame, teams: DataFrame, loads: int = 16) -> DataFrame:
+    """``delivery_no, copies``: the one row that stays of every message, with the number of its deliveries."""
+    return stored(notices, teams, loads).messages().select(F.col("arrival").alias("delivery_no"), "copies")

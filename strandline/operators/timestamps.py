@@ -1,13 +1,17 @@
 """Mixed timestamp notations and time zones to one UTC instant.
 
-Every value is matched against a closed list of notations. Each notation that accepts a value is one
-*interpretation*; a numeric date such as ``09/01/2015`` has two (day first, month first). Per source the
-shares of the notations are estimated by expectation-maximisation over the interpretations of all its
-values (:func:`format_posteriors`); the posterior chooses the interpretation, and a value whose best
-posterior stays below ``min_posterior`` is reported as ``ambiguous`` with no instant.
-
-Values are parsed in Arrow batches by :func:`readings`; the same rules as JVM expressions outgrow the
-generated-code limit and the optimizer.
+Every value is matched against a closed list of notations. Most notations leave one reading; these leave several:
+
+* ``numeric``: a date such as ``09/01/2015``, day or month first;
+* ``number``: a count since 1970, in seconds, milliseconds, microseconds or nanoseconds;
+* ``zone:X``: a zone abbreviation that several regions use, such as ``IST``.
+
+Per source the shares of the readings are estimated by expectation-maximisation (:func:`mixture`): each value
+contributes its likelihood under every valid reading, a value with one valid reading counts for it alone. The posterior
+chooses the reading; a value whose best posterior stays below ``min_posterior`` is reported as ``ambiguous`` with no
+instant. What a source states about itself is a prior worth two values, so the values decide where they say anything.
+
+ISO notations, the mass of the values, are parsed in the JVM; only the others go to Python, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.session import broadcast_if_small, cut
@@ -33,6 +38,8 @@ ZONE_OFFSETS = {
     "ADT": "-03:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00",
     "PST": "-08:00", "PDT": "-07:00", "AKST": "-09:00", "AKDT": "-08:00", "HST": "-10:00", "BRT": "-03:00", "ART": "-03:00",
 }
+# Abbreviations of several regions, with the offsets that are less usual.
+SHARED_ZONES = {"AST": ["+03:00"], "BST": ["+06:00"], "CST": ["+08:00"], "EST": ["+10:00"], "IST": ["+01:00", "+02:00"]}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 _ZONE = r"([Zz]|[+-]\d\d:?\d\d|\[[A-Za-z]+(?:/[A-Za-z_+-]+)*\]|[A-Z]{1,5})"
@@ -129,86 +136,215 @@ def readings(value: str | None, home: str | None) -> tuple[str | None, int | Non
     return None, None, None
 
 
+#: Shares of the readings before any value is seen, and how many values that is worth.
+UNIT_PRIOR, STRENGTH = [0.25, 0.25, 0.25, 0.25], 2.0
+USUAL_ZONE = 0.95
+#: Likelihood of a count under a smaller unit than its size implies: the instant then lies within weeks of 1970.
+NEAR_1970 = 1e-6
+#: Share from which a source writes dates in an order at all.
+LEAST_SHARE = 0.01
+_UNITS = [1_000_000, 1_000, 1]
+_TEXT_ZONE = re.compile(r"(?<![A-Z])(" + "|".join(sorted(SHARED_ZONES)) + r")(?: \d{4})?$")
+
+
+def _implied_unit(digits: int) -> int:
+    """The largest unit in which a count of so many digits lies before the year 2286: 0 seconds to 3 nanoseconds."""
+    return 0 if digits <= 10 else 1 if digits <= 13 else 2 if digits <= 16 else 3
+
+
+def alternatives(value: str | None, home: str | None) -> tuple[str | None, list[int | None], list[float]]:
+    """``(group, instants, likelihoods)``: all readings of a value; ``group`` is ``one`` where only one is possible, None where no notation accepts it."""
+    kind, first, second = readings(value, home)
+    if kind is None:
+        return None, [], []
+    if kind == "numeric":
+        return "numeric", [first, second], [float(first is not None), float(second is not None)]
+    v = " ".join(value.split())
+    if kind == "epoch":
+        n = int(v)
+        if not n:
+            return None, [], []
+        unit = _implied_unit(len(str(abs(n))))
+        return "number", [n * u if i >= unit else None for i, u in enumerate(_UNITS)] + [n // 1_000], [0.0 if i < unit else 1.0 if i == unit else NEAR_1970 for i in range(4)]
+    m = _TEXT_ZONE.search(v)
+    if m and first is not None:
+        usual = _OFFSETS[m[1]].utcoffset(None)
+        others = [first + (usual - _zone(o).utcoffset(None)) // timedelta(microseconds=1) for o in SHARED_ZONES[m[1]]]
+        return f"zone:{m[1]}", [first, *others], [1.0] * (1 + len(others))
+    return "one", [first], [1.0]
+
+
 def _readings_column():
-    @F.pandas_udf("kind string, first bigint, second bigint")
+    @F.pandas_udf("group string, at array<bigint>, likelihood array<double>")
     def parse(value: pd.Series, zone: pd.Series) -> pd.DataFrame:
-        rows = [readings(v, z) for v, z in zip(value.tolist(), zone.tolist())]
-        kind, first, second = zip(*rows) if rows else ((), (), ())
-        return pd.DataFrame({"kind": pd.Series(kind, dtype=object), "first": pd.array(first, dtype="Int64"), "second": pd.array(second, dtype="Int64")})
+        # values that the JVM has parsed come as null
+        rows = [(None, None, None) if v is None else alternatives(v, z) for v, z in zip(value.tolist(), zone.tolist())]
+        group, at, weight = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({"group": pd.Series(group, dtype=object), "at": pd.Series(at, dtype=object), "likelihood": pd.Series(weight, dtype=object)})
 
     return parse
 
 
-def _em(prior_first: float, only_first: int, only_second: int, both: int, rounds: int = 200) -> float:
-    """Share of the first reading: the values accepted by both readings are divided by their posterior."""
-    share = prior_first
+def mixture(prior: list[float], seen: list[tuple[list[float], int]], rounds: int = 200) -> list[float]:
+    """Shares of the readings of one source by expectation-maximisation.
+
+    ``seen`` holds the likelihoods of a value under each reading and how many values have them. The prior counts as
+    :data:`STRENGTH` virtual values.
+    """
+    share = list(prior)
+    total = STRENGTH + sum(n for like, n in seen if any(like))
     for _ in range(rounds):
-        # the prior counts as two virtual values, so that it decides only where the values themselves say nothing
-        new = (2 * prior_first + only_first + both * share) / (2 + only_first + only_second + both)
-        if abs(new - share) < 1e-12:
-            break
+        new = [STRENGTH * p for p in prior]
+        for like, n in seen:
+            joint = [s * x for s, x in zip(share, like)]
+            whole = sum(joint)
+            if whole > 0:
+                new = [a + n * j / whole for a, j in zip(new, joint)]
+        new = [x / total for x in new]
+        moved = max(abs(a - b) for a, b in zip(new, share))
         share = new
+        if moved < 1e-12:
+            break
     return share
 
 
+def _em(prior_first: float, only_first: int, only_second: int, both: int, rounds: int = 200) -> float:
+    """Share of the first of two readings from the values accepted by the first alone, the second alone and both."""
+    return mixture([prior_first, 1 - prior_first], [([1.0, 0.0], only_first), ([0.0, 1.0], only_second), ([1.0, 1.0], both)], rounds)[0]
+
+
+def prior_of(group: str, stated: str | None) -> list[float]:
+    """Prior shares of a group; ``stated`` is the order in which the source says it writes dates."""
+    if group == "numeric":
+        p = {"dmy": 0.999, "mdy": 0.001}.get(stated or "", 0.5)
+        return [p, 1 - p]
+    if group == "number":
+        return UNIT_PRIOR
+    others = len(SHARED_ZONES[group.partition(":")[2]])
+    return [USUAL_ZONE] + [(1 - USUAL_ZONE) / others] * others
+
+
 def format_posteriors(counts: DataFrame) -> DataFrame:
-    """EM per source over ``(source, prior_first, only_first, only_second, both)``: adds ``share_first``.
+    """EM per source and group over ``(source, stated, group, seen array<struct<likelihood array<double>, n bigint>>)``: adds ``shares``.
 
-    One row per source comes in and goes out, so the cost does not depend on the number of values.
+    The cost depends on the number of sources, not on the number of values.
     """
 
     def run(batches):
         for b in batches:
-            b["share_first"] = [_em(*r) for r in zip(b.prior_first, b.only_first, b.only_second, b.both)]
-            yield b[["source", "share_first"]].astype({"share_first": "float64"})
+            rows = [(r["source"], r["group"], mixture(prior_of(r["group"], r["stated"]), [(x["likelihood"], x["n"]) for x in r["seen"]])) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["source", "group", "shares"])
 
-    return counts.select(F.col("source").cast("string"), "prior_first", "only_first", "only_second", "both").mapInPandas(run, "source string, share_first double")
+    return counts.select(F.col("source").cast("string").alias("source"), "stated", "group", "seen").mapInArrow(run, "source string, group string, shares array<double>")
+
+
+def _evidence(base: DataFrame, value_col: str, source_col: str) -> DataFrame:
+    """``source, group, likelihood, n``: how many values of a source have which likelihoods, counted in the JVM and combined map-side."""
+    v = F.trim(F.col(value_col))
+    a, b = (F.regexp_extract(v, NUMERIC, i).try_cast("int") for i in (1, 3))
+    fits_first, fits_second = b.between(1, 12) & a.between(1, 31), a.between(1, 12) & b.between(1, 31)
+    one = lambda group, *like: F.array(F.struct(F.lit(group).alias("group"), F.array(*[F.lit(x) if isinstance(x, float) else x.cast("double") for x in like]).alias("likelihood")))
+    digits = F.length(F.regexp_replace(v, "^-?0*", ""))
+    unit = F.when(digits <= 10, 0).when(digits <= 13, 1).when(digits <= 16, 2).otherwise(3)
+    written = F.concat(F.regexp_extract(v, r"([+-]\d\d):?(\d\d)$", 1), F.lit(":"), F.regexp_extract(v, r"([+-]\d\d):?(\d\d)$", 2))
+    text = F.regexp_extract(v, r"(?<![A-Z])([A-Z]{3,4})(?: \d{4})?$", 1)
+    zones = F.array(
+        *[
+            F.when(text == name, F.struct(F.lit(f"zone:{name}").alias("group"), F.array(*[F.lit(1.0)] * (1 + len(others))).alias("likelihood"))).when(
+                written.isin(ZONE_OFFSETS[name], *others), F.struct(F.lit(f"zone:{name}").alias("group"), F.array(*[(written == o).cast("double") for o in (ZONE_OFFSETS[name], *others)]).alias("likelihood"))
+            )
+            for name, others in SHARED_ZONES.items()
+        ]
+    )
+    found = (
+        F.when(v.rlike(NUMERIC), F.when((a != b) & (fits_first | fits_second), one("numeric", F.coalesce(fits_first, F.lit(False)), F.coalesce(fits_second, F.lit(False)))))
+        .when(v.rlike(r"^-?\d{1,20}$") & (digits > 0) & ~v.rlike(r"^\d{8}$"), one("number", *[F.when(unit > i, 0.0).when(unit == i, 1.0).otherwise(NEAR_1970) for i in range(4)]))
+        .otherwise(F.filter(zones, lambda z: z.isNotNull()))
+    )
+    cells = base.select(F.col(source_col).cast("string").alias("source"), F.explode(found).alias("e"))
+    return cells.groupBy("source", "e.group", "e.likelihood").agg(F.count("*").alias("n"))
+
+
+def _known_zones():
+    """A column function: the zone where it is a region that can be computed with, else null."""
+
+    def known(z):
+        try:
+            return z if z and ZoneInfo(z) is not None else None
+        except (ValueError, OSError, ZoneInfoNotFoundError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(zone: pd.Series) -> pd.Series:
+        return pd.Series([known(z) for z in zone.tolist()], dtype=object)
+
+    return run
+
+
+# ISO notations as the JVM reads them; values outside these patterns go to Python
+_JVM_CLOCK = r"^(?!0000)\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d{1,9})?)?"
+_JVM_ZONED = _JVM_CLOCK + r" ?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d)$"
+_JVM_LOCAL = _JVM_CLOCK + "$"
+_JVM_DAY = r"^(?!0000)\d{4}-\d\d-\d\d$"
+
+
+def _iso_instants(v: Column, zone: Column) -> tuple[Column, Column]:
+    """Whether the JVM reads ``v`` (trimmed text), and its instant in microseconds: null for an impossible date or clock."""
+    micros = lambda ntz: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ntz)
+    zoned, local, day = v.rlike(_JVM_ZONED), v.rlike(_JVM_LOCAL) & zone.isNotNull(), v.rlike(_JVM_DAY)
+    offset = F.regexp_extract(v, r"([+-])(\d\d):?(\d\d)$", 1)
+    seconds = F.regexp_extract(v, r"([+-])(\d\d):?(\d\d)$", 2).try_cast("int") * 3600 + F.regexp_extract(v, r"([+-])(\d\d):?(\d\d)$", 3).try_cast("int") * 60
+    ahead = F.when(offset == "", F.lit(0)).when(offset == "+", seconds).otherwise(-seconds).cast("bigint") * 1_000_000
+    clock = F.regexp_replace(v, r" ?(?:Z|(?<=:\d\d|\.\d{1,9})[+-]\d\d:?\d\d| [+-]\d\d:?\d\d)$", "").try_cast("timestamp_ntz")
+    at = F.when(zoned, micros(clock) - ahead).when(local, micros(F.convert_timezone(zone, F.lit("UTC"), v.try_cast("timestamp_ntz")))).when(day, micros(v.try_cast("date").cast("timestamp_ntz")))
+    return F.coalesce(zoned | local | day, F.lit(False)), at
 
 
 def normalise(df: DataFrame, value_col: str, source_col: str, teams: DataFrame, min_posterior: float = 0.9, sources_from: DataFrame | None = None) -> DataFrame:
     """Adds ``utc_us`` (bigint) and ``status`` (``ok``, ``ambiguous``, ``unusable``) to every row of ``df``.
 
-    ``teams`` has ``team, zone_id, date_order`` (one row per source). Its ``date_order`` is what the source
-    states about itself and enters the mixture as a strong prior (0.999); a source without one starts at 0.5
-    and is decided by its own unambiguous values. Null, empty, blank and unknown texts are ``unusable``.
-    A local time of a source without a known zone is ``unusable`` as well: it denotes no instant.
-    Rows are neither dropped nor multiplied (``teams`` is reduced to one row per team first); an empty table
-    gives an empty table; columns of ``df`` with the helper names keep their values. Two passes: the first only
-    counts numeric dates per source (map-side combined), the second is a narrow projection.
+    ``teams`` has ``team, zone_id, date_order`` (one row per source). Its ``date_order`` is what the source states
+    about itself: a prior worth two values (:data:`STRENGTH`), overruled by values that can be read one way only; a
+    source without one starts at one half. Null, empty, blank and unknown texts are ``unusable``. A local time of a
+    source without a known zone is ``unusable`` as well: it denotes no instant. Rows are neither dropped nor
+    multiplied (``teams`` is reduced to one row per team first); an empty table gives an empty table; columns of
+    ``df`` with the helper names keep their values. Two passes: the first only counts values with several readings
+    per source (map-side combined, in the JVM), the second is a narrow projection.
     """
     homes = teams.where(F.col("team").isNotNull()).groupBy(F.col("team").alias("__team")).agg(F.min("zone_id").alias("__zone"), F.min(F.lower("date_order")).alias("__order"))
-    homes = broadcast_if_small(homes)
-    base = df if sources_from is None else sources_from
+    homes = broadcast_if_small(cut(homes.select("__team", _known_zones()("__zone").alias("__zone"), "__order")))
+    counts = _evidence(df if sources_from is None else sources_from, value_col, source_col)
+    counts = counts.groupBy("source", "group").agg(F.collect_list(F.struct("likelihood", "n")).alias("seen"))  # a handful of likelihoods each
+    counts = counts.join(homes.select(F.col("__team").alias("source"), F.col("__order").alias("stated")), "source", "left")
+    shares = format_posteriors(counts).groupBy(F.col("source").alias("__source")).agg(F.map_from_entries(F.collect_list(F.struct("group", "shares"))).alias("__shares"))
+    shares = broadcast_if_small(cut(shares))
+    out = df.join(homes, F.col(source_col).cast("string") == F.col("__team"), "left").join(shares, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
     v = F.trim(F.col(value_col))
-    a, b = (F.regexp_extract(v, NUMERIC, i).try_cast("int") for i in (1, 3))
-    fits_first, fits_second = b.between(1, 12) & a.between(1, 31), a.between(1, 12) & b.between(1, 31)
-    n = lambda c: F.sum(c.cast("bigint"))
-    counts = (
-        base.where(v.rlike(NUMERIC))
-        .select(F.col(source_col).cast("string").alias("source"), fits_first.alias("f"), fits_second.alias("s"), (a == b).alias("same"))
-        .groupBy("source")
-        .agg(n(F.col("f") & ~F.col("s")).alias("only_first"), n(F.col("s") & ~F.col("f")).alias("only_second"), n(F.col("f") & F.col("s") & ~F.col("same")).alias("both"))
-        .join(homes, F.col("source") == F.col("__team"), "left")
-        .withColumn("prior_first", F.when(F.col("__order") == "dmy", 0.999).when(F.col("__order") == "mdy", 0.001).otherwise(0.5))
-    )
-    shares = cut(format_posteriors(counts)).select(F.col("source").alias("__source"), F.col("share_first").alias("__share"))
-    shares = broadcast_if_small(shares)
-    out = df.join(homes, F.col(source_col).cast("string") == F.col("__team"), "left").join(shares, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    out = out.withColumn("__r", _readings_column()(F.col(value_col), F.col("__zone")))
-    first, second, share = F.col("__r.first"), F.col("__r.second"), F.coalesce(F.col("__share"), F.lit(0.5))
-    numeric = F.coalesce(F.col("__r.kind") == "numeric", F.lit(False))
-    both = numeric & first.isNotNull() & second.isNotNull() & (first != second)
-    unsure = both & (F.greatest(share, 1 - share) < min_posterior)
-    # the other reading of a value that fits only one counts only where that reading has weight in the source's mixture
+    iso, at = _iso_instants(v, F.col("__zone"))
+    out = out.withColumn("__iso", iso).withColumn("__at", at)
+    out = out.withColumn("__r", _readings_column()(F.when(~F.col("__iso"), F.col(value_col)), F.col("__zone")))
+    group, instants = F.col("__r.group"), F.col("__r.at")
+    by_default = F.coalesce(*[F.when(group == g, F.array(*map(F.lit, prior_of(g, None)))) for g in ("numeric", "number", *[f"zone:{z}" for z in SHARED_ZONES])])
+    share = F.coalesce(F.try_element_at("__shares", group), F.when((group == "numeric") & F.col("__order").isin("dmy", "mdy"), F.when(F.col("__order") == "dmy", F.array(F.lit(0.999), F.lit(0.001))).otherwise(F.array(F.lit(0.001), F.lit(0.999)))), by_default)
+    joint = F.zip_with(F.col("__r.likelihood"), share, lambda like, s: like * s)
+    out = out.withColumn("__joint", F.when(group != "one", joint)).withColumn("__share", F.when(group != "one", share))
+    valid = F.filter(instants, lambda x: x.isNotNull())
+    best = F.array_position("__joint", F.array_max("__joint")).cast("int") - 1
+    total = F.aggregate("__joint", F.lit(0.0), lambda s, x: s + x)
+    same = F.size(F.array_distinct(valid)) == 1
+    several = (group != "one") & ~same & (F.size(valid) > 1)
+    unsure = F.coalesce(several & (F.array_max("__joint") < min_posterior * total), F.lit(False))
+    # the only reading of a date in digits counts only where the source writes dates in that order
     utc = (
-        F.when(unsure, F.lit(None))
-        .when(both, F.when(share >= 0.5, first).otherwise(second))
-        .when(numeric & (first == second), first)
-        .when(numeric, F.when(first.isNotNull(), F.when(share > 0.01, first)).otherwise(F.when(1 - share > 0.01, second)))
-        .otherwise(first)
+        F.when(F.col("__iso"), F.col("__at"))
+        .when(group == "one", F.get(instants, F.lit(0)))
+        .when(unsure, F.lit(None))
+        .when(same & (F.size(valid) > 1), F.get(valid, F.lit(0)))
+        .when(several, F.get(instants, best))
+        .when(same, F.when((group != "numeric") | (F.get("__share", best) > LEAST_SHARE), F.get(instants, best)))
     )
     out = out.withColumn("utc_us", utc.cast("bigint"))
-    status = F.when(F.col("utc_us").isNotNull(), "ok").when(F.coalesce(unsure, F.lit(False)), "ambiguous").otherwise("unusable")
+    status = F.when(F.col("utc_us").isNotNull(), "ok").when(unsure, "ambiguous").otherwise("unusable")
     return out.withColumn("status", status).select(*[F.col(c) for c in df.columns if c not in ("utc_us", "status")], "utc_us", "status")
 
 

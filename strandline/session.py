@@ -38,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset a folder of this machine, in local mode only."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = configured or os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
         context.setCheckpointDir(configured)
     return configured or context.getCheckpointDir()
@@ -52,6 +54,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def scratched(spark: SparkSession, path: str) -> None:
+    """Has a scratch folder deleted when the driver's JVM ends; until then every plan may read it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
@@ -72,4 +80,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, computed once."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    scratched(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

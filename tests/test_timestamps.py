@@ -60,3 +60,46 @@ def test_readings_of_numeric_dates_follow_the_source(spark):
     assert out[4].status == "unusable"
     assert out[5].utc_us == us("2017-04-04 04:50:56") and out[7].utc_us == us("2015-01-12 00:15:33")
     assert normalise(df.limit(0), "v", "team", teams).count() == 0
+
+
+def read(spark, rows, teams):
+    df = spark.createDataFrame(rows, "id int, team string, v string")
+    return {r.id: r for r in normalise(df, "v", "team", spark.createDataFrame(teams, "team string, zone_id string, date_order string")).collect()}
+
+
+def test_order_is_recovered_where_the_statement_is_missing_or_wrong(spark):
+    days = [f"{d}/{m}/2015" for d in range(13, 29) for m in ("03", "07")]
+    rows = [(i, team, v) for team, k in (("wrong", 0), ("silent", 100)) for i, v in enumerate([*days, "05/04/2015"], k)]
+    out = read(spark, rows, [("wrong", "UTC", "mdy"), ("silent", "UTC", None)])
+    assert out[32].utc_us == out[132].utc_us == us("2015-04-05") and out[32].status == "ok"
+
+
+def test_open_order_is_marked(spark):
+    rows = [(1, "mixed", "05/04/2015")] + [(i, "mixed", f"{i}/03/2015") for i in range(13, 25)] + [(i + 100, "mixed", f"03/{i}/2015") for i in range(13, 25)]
+    out = read(spark, rows, [("mixed", "UTC", None)])
+    assert out[1].status == "ambiguous" and out[1].utc_us is None
+    assert out[13].utc_us == us("2015-03-13") and out[113].utc_us == us("2015-03-13")
+
+
+def test_zone_abbreviations_follow_the_offsets_of_the_source(spark):
+    written = [(i, "china", "2015-01-04T12:06:14+08:00") for i in range(2, 60)]
+    out = read(spark, [(1, "china", "2015-01-04 12:06:14 CST"), (100, "other", "2015-01-04 12:06:14 CST"), *written], [("china", "Asia/Shanghai", None)])
+    assert out[1].utc_us == us("2015-01-04 04:06:14") and out[100].utc_us == us("2015-01-04 18:06:14")
+    halves = [(i, "both", f"2015-01-04T12:06:14{'+02:00' if i % 2 else '+05:30'}") for i in range(2, 42)]
+    assert read(spark, [(1, "both", "2015-01-04 12:06:14 IST"), *halves], [])[1].status == "ambiguous"
+
+
+def test_units_of_counts(spark):
+    rows = [(1, "a", "1319932049"), (2, "a", "1256431706000"), (3, "a", "1301189656000000"), (4, "a", "1301189656000000123"), (5, "a", "0"), (6, "a", "-86400"), (7, "a", "9" * 20)]
+    out = read(spark, rows + [(i, "a", f"12564317{i:05d}") for i in range(10, 200)], [])
+    assert [out[i].utc_us for i in (1, 2, 3, 4)] == [us("2011-10-29 23:47:29"), us("2009-10-25 00:48:26"), 1301189656000000, 1301189656000000]
+    assert out[5].status == "unusable" and out[6].utc_us == us("1969-12-31") and out[7].status == "ok"
+
+
+def test_jvm_and_python_read_iso_alike(spark):
+    local = ["2014-03-30 01:30:00", "2014-10-26T01:30:00", "2010-08-05 07:06", "2010-08-05", "2015-02-29", "2010-08-05 25:00:00", "2010-08-05T07:06:09.123456789"]
+    zoned = ["2009-03-29T00:41:37.980881Z", "2015-01-28 17:14:37+0545", "2015-01-28 17:14:37.5 -0330", "2012-03-24T22:24:44-03:30", "2012-03-24T22:24Z", "2012-13-24T22:24Z", "0000-00-00", "1969-12-31T23:59:59.5Z"]
+    rows = [(i, team, v) for team, k in (("l", 0), ("none", 100)) for i, v in enumerate(local + zoned, k)]
+    out = read(spark, rows, [("l", LONDON, None), ("none", "Mars/Olympus", None)])
+    for i, team, v in rows:
+        assert out[i].utc_us == readings(v, LONDON if team == "l" else None)[1], (team, v)
