@@ -240,14 +240,18 @@ def format_posteriors(counts: DataFrame) -> DataFrame:
 
 def _evidence(base: DataFrame, value_col: str, source_col: str) -> DataFrame:
     """``source, group, likelihood, n``: how many values of a source have which likelihoods, counted in the JVM and combined map-side."""
-    v = F.trim(F.col(value_col))
-    a, b = (F.regexp_extract(v, NUMERIC, i).try_cast("int") for i in (1, 3))
+    # every row meets one pattern; the others are for the rows that can have several readings or show an offset
+    some = base.select(F.col(source_col).cast("string").alias("source"), F.trim(F.col(value_col)).alias("v")).where(F.col("v").rlike(r"^-?\d+$|^\d{1,2}[/.-]|[A-Z]{3,4}(?: \d{4})?$|[+-]\d\d:?\d\d$"))
+    v, text, tail = F.col("v"), F.col("text"), F.right("v", F.lit(6))
+    some = some.withColumn("text", F.regexp_extract(v, r"(?<![A-Z])([A-Z]{3,4})(?: \d{4})?$", 1))
+    some = some.withColumn("written", F.when(tail.rlike(r"[+-]\d\d:?\d\d$"), F.concat(F.regexp_replace(tail, r"^[^+-]|\d\d$", ""), F.lit(":"), F.right("v", F.lit(2)))))
+    some = some.withColumn("written", F.replace("written", F.lit("::"), F.lit(":")))
+    some = some.withColumn("a", F.regexp_extract(v, NUMERIC, 1).try_cast("int")).withColumn("b", F.when(F.col("a").isNotNull(), F.regexp_extract(v, NUMERIC, 3).try_cast("int")))
+    some = some.withColumn("digits", F.when(v.rlike(r"^-?\d{1,20}$") & ~v.rlike(r"^\d{8}$"), F.length(F.regexp_replace(v, "^-?0*", ""))))
+    a, b, digits, written = (F.col(c) for c in ("a", "b", "digits", "written"))
     fits_first, fits_second = b.between(1, 12) & a.between(1, 31), a.between(1, 12) & b.between(1, 31)
     one = lambda group, *like: F.array(F.struct(F.lit(group).alias("group"), F.array(*[F.lit(x) if isinstance(x, float) else x.cast("double") for x in like]).alias("likelihood")))
-    digits = F.length(F.regexp_replace(v, "^-?0*", ""))
     unit = F.when(digits <= 10, 0).when(digits <= 13, 1).when(digits <= 16, 2).otherwise(3)
-    written = F.concat(F.regexp_extract(v, r"([+-]\d\d):?(\d\d)$", 1), F.lit(":"), F.regexp_extract(v, r"([+-]\d\d):?(\d\d)$", 2))
-    text = F.regexp_extract(v, r"(?<![A-Z])([A-Z]{3,4})(?: \d{4})?$", 1)
     zones = F.array(
         *[
             F.when(text == name, F.struct(F.lit(f"zone:{name}").alias("group"), F.array(*[F.lit(1.0)] * (1 + len(others))).alias("likelihood"))).when(
@@ -256,12 +260,13 @@ def _evidence(base: DataFrame, value_col: str, source_col: str) -> DataFrame:
             for name, others in SHARED_ZONES.items()
         ]
     )
+    shared = text.isin(*SHARED_ZONES) | written.isin(*{o for name, others in SHARED_ZONES.items() for o in (ZONE_OFFSETS[name], *others)})
     found = (
-        F.when(v.rlike(NUMERIC), F.when((a != b) & (fits_first | fits_second), one("numeric", F.coalesce(fits_first, F.lit(False)), F.coalesce(fits_second, F.lit(False)))))
-        .when(v.rlike(r"^-?\d{1,20}$") & (digits > 0) & ~v.rlike(r"^\d{8}$"), one("number", *[F.when(unit > i, 0.0).when(unit == i, 1.0).otherwise(NEAR_1970) for i in range(4)]))
-        .otherwise(F.filter(zones, lambda z: z.isNotNull()))
+        F.when(a.isNotNull(), F.when((a != b) & (fits_first | fits_second), one("numeric", F.coalesce(fits_first, F.lit(False)), F.coalesce(fits_second, F.lit(False)))))
+        .when(digits > 0, one("number", *[F.when(unit > i, 0.0).when(unit == i, 1.0).otherwise(NEAR_1970) for i in range(4)]))
+        .when(shared, F.filter(zones, lambda z: z.isNotNull()))
     )
-    cells = base.select(F.col(source_col).cast("string").alias("source"), F.explode(found).alias("e"))
+    cells = some.select("source", F.explode(found).alias("e"))
     return cells.groupBy("source", "e.group", "e.likelihood").agg(F.count("*").alias("n"))
 
 
@@ -281,23 +286,25 @@ def _known_zones():
     return run
 
 
-# ISO notations as the JVM reads them; values outside these patterns go to Python
-_JVM_CLOCK = r"^(?!0000)\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d{1,9})?)?"
-_JVM_ZONED = _JVM_CLOCK + r" ?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d)$"
-_JVM_LOCAL = _JVM_CLOCK + "$"
-_JVM_DAY = r"^(?!0000)\d{4}-\d\d-\d\d$"
+# ISO notations as the JVM reads them; values outside this pattern go to Python
+_JVM_ISO = r"^(?!0000)\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d{1,9})?)?(?: ?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d))?)?$"
 
 
-def _iso_instants(v: Column, zone: Column) -> tuple[Column, Column]:
-    """Whether the JVM reads ``v`` (trimmed text), and its instant in microseconds: null for an impossible date or clock."""
+def _with_iso(df: DataFrame, v: Column, zone: Column) -> DataFrame:
+    """Adds ``__iso``, whether the JVM reads ``v``, and ``__at``, its instant in microseconds: null for an impossible date or clock.
+
+    Each step is a column of its own, so that no pattern is matched twice.
+    """
     micros = lambda ntz: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ntz)
-    zoned, local, day = v.rlike(_JVM_ZONED), v.rlike(_JVM_LOCAL) & zone.isNotNull(), v.rlike(_JVM_DAY)
-    offset = F.regexp_extract(v, r"([+-])(\d\d):?(\d\d)$", 1)
-    seconds = F.regexp_extract(v, r"([+-])(\d\d):?(\d\d)$", 2).try_cast("int") * 3600 + F.regexp_extract(v, r"([+-])(\d\d):?(\d\d)$", 3).try_cast("int") * 60
-    ahead = F.when(offset == "", F.lit(0)).when(offset == "+", seconds).otherwise(-seconds).cast("bigint") * 1_000_000
-    clock = F.regexp_replace(v, r" ?(?:Z|(?<=:\d\d|\.\d{1,9})[+-]\d\d:?\d\d| [+-]\d\d:?\d\d)$", "").try_cast("timestamp_ntz")
-    at = F.when(zoned, micros(clock) - ahead).when(local, micros(F.convert_timezone(zone, F.lit("UTC"), v.try_cast("timestamp_ntz")))).when(day, micros(v.try_cast("date").cast("timestamp_ntz")))
-    return F.coalesce(zoned | local | day, F.lit(False)), at
+    df = df.withColumn("__v", v).withColumn("__iso", F.coalesce(F.col("__v").rlike(_JVM_ISO), F.lit(False)))
+    # an offset or Z stands behind the clock, which ends at the 16th character or later
+    df = df.withColumn("__off", F.when(F.col("__iso") & (F.length("__v") > 16), F.regexp_extract(F.substring("__v", 17, 99), r"Z$|[+-]\d\d:?\d\d$", 0)).otherwise(""))
+    off, text = F.col("__off"), F.col("__v")
+    zoned, day = off != "", F.length(text) == 10
+    ahead = F.when(off == "Z", 0).otherwise((F.substring(off, 2, 2).try_cast("int") * 3600 + F.right(off, F.lit(2)).try_cast("int") * 60) * F.when(F.left(off, F.lit(1)) == "-", -1).otherwise(1)).cast("bigint") * 1_000_000
+    df = df.withColumn("__wall", F.when(F.col("__iso"), F.rtrim(F.left(text, F.length(text) - F.length(off))).try_cast("timestamp_ntz")))
+    wall = F.col("__wall")
+    return df.withColumn("__at", F.when(day, micros(wall)).when(zoned, micros(wall) - ahead).when(zone.isNotNull(), micros(F.convert_timezone(zone, F.lit("UTC"), wall))))
 
 
 def normalise(df: DataFrame, value_col: str, source_col: str, teams: DataFrame, min_posterior: float = 0.9, sources_from: DataFrame | None = None) -> DataFrame:
@@ -319,9 +326,7 @@ def normalise(df: DataFrame, value_col: str, source_col: str, teams: DataFrame,
     shares = format_posteriors(counts).groupBy(F.col("source").alias("__source")).agg(F.map_from_entries(F.collect_list(F.struct("group", "shares"))).alias("__shares"))
     shares = broadcast_if_small(cut(shares))
     out = df.join(homes, F.col(source_col).cast("string") == F.col("__team"), "left").join(shares, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
-    v = F.trim(F.col(value_col))
-    iso, at = _iso_instants(v, F.col("__zone"))
-    out = out.withColumn("__iso", iso).withColumn("__at", at)
+    out = _with_iso(out, F.trim(F.col(value_col)), F.col("__zone"))
     out = out.withColumn("__r", _readings_column()(F.when(~F.col("__iso"), F.col(value_col)), F.col("__zone")))
     group, instants = F.col("__r.group"), F.col("__r.at")
     by_default = F.coalesce(*[F.when(group == g, F.array(*map(F.lit, prior_of(g, None)))) for g in ("numeric", "number", *[f"zone:{z}" for z in SHARED_ZONES])])
