@@ -7,30 +7,31 @@
    over the texts left (map-side combined), range-partitioned, sorted and cumulated; the totals of the partitions
    before give each partition's offset, so every value has its exact rank without any single task seeing all values
    (:func:`exact_ranks`). Languages of few texts are ranked among the texts of all languages.
-3. Both empirical tail probabilities of each statistic are turned into a surprise, and the surprises of a document
-   are added up to the outlier score of the text, which every copy of it has.
-4. A document is reported if it is an outlier and its structure says what it is.
+3. The empirical tail probabilities of a text's statistics are turned into surprises. The surprises of one-sided tails
+   that speak for a kind (a list: many items, short lines, few end marks, few common words ...) are added up to the
+   text's outlier score for that kind, which every copy of it has.
+4. The structure of a text names the kind; the text is reported if its score for the kind is an outlier of the
+   distribution of that score.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import broadcast_if_small, written
+from strandline.session import BROADCAST_ROWS, broadcast_if_small, written
 
 STATS = ["n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_mark_lines", "common_words", "distinct_words", "mean_line_words"]
-#: Outlier score (sum of surprises, natural logarithm) from which a document can be reported.
-MIN_SCORE = 6.0
+#: Shares of a text that are rows of tables, items of lists, junk of a known form, and neighbours in no order.
+SHARES = ["table_share", "list_share", "junk", "disorder"]
 #: Distinct texts from which a language has ranks of its own; the texts of smaller ones are ranked among all languages.
 MIN_TEXTS = 50
-#: Share of unseen neighbours among known words from which words are in no order.
-MAX_DISORDER = 0.58
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TOKENS = re.compile(r"\S+")
@@ -168,99 +169,144 @@ def junk_share(text: str, words: list[str], digits: int) -> float:
     return score
 
 
-def disorder(words: list[str], text: str, pairs: frozenset, vocabulary: frozenset) -> float:
-    """Share of neighbouring known words that are no frequent neighbours in their language; 0 where too few are known."""
-    seen = missing = 0
-    for a, b in zip(words, words[1:]):
-        if a in vocabulary and b in vocabulary:
-            seen += 1
-            if (a, b) not in pairs:
-                missing += 1
-    return missing / seen if seen >= 12 else 0.0
-
-
 #: Least count of a known word and of a known pair, and their least shares of the words of their language. The shares
 #: bound the model whatever the size of the corpus: a language has at most 1 / share of either.
 LEAST_WORD, LEAST_PAIR = 24, 3
 WORD_SHARE, PAIR_SHARE = 6e-5, 7.5e-6
-#: Known words and pairs of all languages up to which the model is sent to the workers.
+#: Known words and pairs of all languages up to which the model is sent to the workers (8 bytes each).
 MAX_MODEL = 2_000_000
-#: Distinct words and pairs that a task counts before it passes them on.
-HELD = 500_000
+#: Words that a task holds before it counts them and passes the counts on.
+HELD = 2_000_000
+#: Neighbouring known words from which a text can be out of order.
+LEAST_NEIGHBOURS = 12
+
+
+class _Codes(dict):
+    """Word -> 63-bit code; 0 is none."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = (int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1) or 1
+        return code
+
+    def of(self, words: list[str]) -> list[int]:
+        if len(self) > 1_000_000:
+            self.clear()
+        return [self[w] for w in words]
+
+
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    """Codes of the neighbours in a row of word codes; 0 next to a 0, which stands between texts."""
+    a, b = codes[:-1].view(np.uint64), codes[1:].view(np.uint64)
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    mixed ^= mixed >> np.uint64(31)
+    return np.where((a > 0) & (b > 0), (mixed >> np.uint64(1)).view(np.int64), 0)
 
 
 def neighbour_counts(texts: DataFrame) -> DataFrame:
-    """``lang, a, b, n``: how often the words ``a`` and ``b`` stand together, and with null ``b`` how often ``a`` stands; ``texts(lang, digest, text)``.
+    """``lang, pair, code, n``: how often a word (``pair`` false) or two neighbouring words stand in the texts of a language; ``texts(doc_id, lang, digest, text)``.
 
-    Copies of a text within a language count once. Each task adds up its own counts before the shuffle.
+    Copies of a text within a language count once. Each task adds up its own counts before the shuffle, and only
+    copies of texts that occur more than once are shuffled themselves.
     """
 
     def run(batches):
-        words, pairs = defaultdict(Counter), defaultdict(Counter)
+        codes, held, size = _Codes(), defaultdict(list), 0
 
         def counted():
-            rows = [(lang, w, None, n) for lang, c in words.items() for w, n in c.items()] + [(lang, a, b, n) for lang, c in pairs.items() for (a, b), n in c.items()]
-            words.clear()
-            pairs.clear()
-            for k in range(0, len(rows), 50_000):
-                columns = zip(*rows[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "a", "b", "n"])
+            for lang, parts in held.items():
+                words = np.array([c for part in parts for c in part], dtype=np.int64)
+                for pair, values in ((False, words), (True, _pairs(words))):
+                    found, n = np.unique(values[values > 0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([pair] * len(found), pa.bool_()), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["lang", "pair", "code", "n"])
+            held.clear()
 
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                w = [x.lower() for x in _WORDS.findall(text)]
-                words[lang].update(w)
-                pairs[lang].update(zip(w, w[1:]))
-            if sum(map(len, words.values())) + sum(map(len, pairs.values())) > HELD:
+                held[lang].append([*codes.of(_WORDS.findall(text.lower())), 0])
+                size += len(held[lang][-1])
+            if size > HELD:
                 yield from counted()
+                size = 0
         yield from counted()
 
-    distinct = texts.where(F.col("text").isNotNull()).dropDuplicates(["lang", "digest"]).select("lang", "text")
-    return distinct.mapInArrow(run, "lang string, a string, b string, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    some = texts.where(F.col("text").isNotNull())
+    repeated = written(some.groupBy("lang", "digest").agg(F.count("*").alias("__n"), F.min("doc_id").alias("__first")).where("__n > 1").drop("__n"), "repeated")
+    marked = some.join(broadcast_if_small(repeated), ["lang", "digest"], "left")
+    once = marked.where("__first IS NULL").select("lang", "text")
+    first = marked.where("doc_id = __first").dropDuplicates(["lang", "digest"]).select("lang", "text")
+    return once.unionByName(first).mapInArrow(run, "lang string, pair boolean, code long, n long").groupBy("lang", "pair", "code").agg(F.sum("n").alias("n"))
 
 
-def word_order(texts: DataFrame) -> dict[str, tuple[frozenset, frozenset]]:
-    """``lang -> (pairs, vocabulary)`` of all texts: the frequent words of each language and the frequent pairs among them."""
+def word_order(texts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """``lang -> (words, pairs)`` of all texts, as sorted codes: the frequent words of each language and its frequent neighbours."""
     counts = written(neighbour_counts(texts), "neighbours")
-    sizes = counts.where("b IS NULL").groupBy("lang").agg(F.sum("n").alias("size"))
-    least = F.when(F.col("b").isNull(), F.greatest(F.lit(LEAST_WORD), WORD_SHARE * F.col("size"))).otherwise(F.greatest(F.lit(LEAST_PAIR), PAIR_SHARE * F.col("size")))
-    rows = counts.join(broadcast_if_small(sizes), "lang").where(F.col("n") >= least).select("lang", "a", "b").limit(MAX_MODEL + 1).collect()
-    if len(rows) > MAX_MODEL:
+    sizes = counts.where("NOT pair").groupBy("lang").agg(F.sum("n").alias("size"))
+    least = F.when(F.col("pair"), F.greatest(F.lit(LEAST_PAIR), PAIR_SHARE * F.col("size"))).otherwise(F.greatest(F.lit(LEAST_WORD), WORD_SHARE * F.col("size")))
+    known = counts.join(broadcast_if_small(sizes), "lang").where(F.col("n") >= least).select("lang", "pair", "code")
+    if known.count() > MAX_MODEL:
         raise ValueError(f"the word order model has more than {MAX_MODEL} words and pairs: the texts have too many language tags")
-    vocabulary, pairs = defaultdict(set), defaultdict(set)
-    for r in rows:
-        if r.b is None:
-            vocabulary[r.lang].add(r.a)
-    for r in rows:
-        if r.b is not None and r.a in vocabulary[r.lang] and r.b in vocabulary[r.lang]:
-            pairs[r.lang].add((r.a, r.b))
-    return {lang: (frozenset(pairs[lang]), frozenset(v)) for lang, v in vocabulary.items()}
+    model: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    rows = known.toPandas()
+    for lang, part in rows.groupby("lang"):
+        model[lang] = tuple(np.sort(part["code"][part["pair"] == pair].to_numpy()) for pair in (False, True))
+    return model
+
+
+def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(len(values), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def disorder(texts: list[list[int]], words: np.ndarray, pairs: np.ndarray) -> list[float]:
+    """For each text (word codes) the share of neighbouring known words that are no frequent neighbours in their language; 0 where too few are known."""
+    row = np.array([c for t in texts for c in (*t, 0)], dtype=np.int64)
+    if len(row) < 2:
+        return [0.0] * len(texts)
+    known = _within(row, words)
+    both = np.append(known[:-1] & known[1:], False)
+    missing = both & ~np.append(_within(_pairs(row), pairs), True)
+    starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
+    seen, gone = (np.add.reduceat(x.astype(np.int64), starts) for x in (both, missing))
+    return np.where(seen >= LEAST_NEIGHBOURS, gone / np.maximum(seen, 1), 0.0).tolist()
+
+
+def _short(x: float) -> float:
+    """Three significant digits: a statistic has few distinct values whatever the size of the corpus."""
+    return float(f"{x:.3g}")
 
 
 def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``doc_id, lang, digest`` and :data:`STATS` of every document, with ``table_share, list_share, junk, disorder``.
+    """``doc_id, lang, digest`` and :data:`STATS` of every document, with :data:`SHARES`.
 
-    ``lang`` is normalised to its lower-case primary tag, ``und`` where it is null. Shares and means are rounded
-    to three decimals. Null, empty and blank texts have null figures and stay in the result; rows are kept as they
-    are, repeated ones too; an empty table gives an empty one; other columns are not read.
+    ``lang`` is normalised to its lower-case primary tag, ``und`` where it is null. Shares are rounded to three
+    decimals, counts and means to three digits. Null, empty and blank texts have null figures and stay in the result;
+    rows are kept as they are, repeated ones too; an empty table gives an empty one; other columns are not read.
+    ``lexicon`` is a table of fixed size; its common words are counted and refused beyond :data:`MAX_MODEL`.
     """
     spark = docs.sparkSession
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.lower(F.regexp_extract(F.trim(docs["lang"]), r"^[A-Za-z]+", 0)), F.lit("und")).alias("lang"), F.unhex(F.md5(docs["text"])).alias("digest"), docs["text"].alias("text"))
     common: dict[str, set] = {}
-    for r in lexicon.where("is_common").select("word", "lang").limit(200_000).collect():  # the lexicon is a table of fixed size
+    listed = lexicon.where(F.col("is_common") & F.col("word").isNotNull()).select(F.lower("word").alias("word"), "lang").distinct()
+    if listed.count() > MAX_MODEL:
+        raise ValueError(f"the lexicon has more than {MAX_MODEL} common words")
+    for r in listed.collect():
         common.setdefault(r.lang, set()).add(r.word)
     shared = spark.sparkContext.broadcast(({k: frozenset(v) for k, v in common.items()}, word_order(base)))
+    kinds = [pa.int64(), pa.string(), pa.binary()] + [pa.float64()] * (len(STATS) + len(SHARES))
 
     def run(batches):
         common, model = shared.value
         everyone = frozenset().union(*common.values()) if common else frozenset()
+        codes, nothing = _Codes(), (np.zeros(0, dtype=np.int64),) * 2
         for batch in batches:
-            rows = []
+            rows, coded = [], defaultdict(list)
             for doc, lang, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None or not text.strip():
-                    rows.append((doc, lang, digest) + (None,) * (len(STATS) + 4))
+                    rows.append([doc, lang, digest] + [None] * (len(STATS) + len(SHARES)))
                     continue
-                words = [w.lower() for w in _WORDS.findall(text)]
+                words = _WORDS.findall(text.lower())
+                coded[lang].append((len(rows), codes.of(words)))
                 n, size = len(words), len(text)
                 letters = sum(map(len, words))
                 spaces = size - sum(map(len, text.split()))
@@ -268,16 +314,17 @@ def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
                 lines = [x for x in text.split("\n") if x.strip()]
                 known = common.get(lang, everyone)
                 table, items = structure(text)
-                rows.append((
-                    doc, lang, digest, float(n), round(letters / n, 3) if n else 0.0, round(1 - (letters + spaces + digits) / size, 3), round(digits / size, 3),
-                    round(sum(1 for x in lines if _ENDS.search(x.rstrip())) / len(lines), 3), round(sum(1 for w in words if w in known) / n, 3) if n else 0.0,
-                    round(len(set(words)) / n, 3) if n else 0.0, round(n / len(lines), 3), round(table, 3), round(items, 3),
-                    round(junk_share(text, words, digits), 3), round(disorder(words, text, *model.get(lang, (frozenset(), frozenset()))), 3),
-                ))
-            kinds = [pa.int64(), pa.string(), pa.binary()] + [pa.float64()] * (len(STATS) + 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["doc_id", "lang", "digest", *STATS, "table_share", "list_share", "junk", "disorder"])
+                rows.append([
+                    doc, lang, digest, _short(n), _short(letters / n) if n else 0.0, round(max(0.0, 1 - (letters + spaces + digits) / size), 3), round(digits / size, 3),
+                    round(sum(1 for x in lines if _ENDS.search(x.rstrip())) / len(lines), 3), round(sum(map(known.__contains__, words)) / n, 3) if n else 0.0,
+                    round(len(set(words)) / n, 3) if n else 0.0, _short(n / len(lines)), round(table, 3), round(items, 3), round(junk_share(text, words, digits), 3), 0.0,
+                ])
+            for lang, texts in coded.items():
+                for (at, _), share in zip(texts, disorder([c for _, c in texts], *model.get(lang, nothing))):
+                    rows[at][-1] = round(share, 3)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["doc_id", "lang", "digest", *STATS, *SHARES])
 
-    return base.mapInArrow(run, "doc_id long, lang string, digest binary, " + ", ".join(f"{c} double" for c in [*STATS, "table_share", "list_share", "junk", "disorder"]))
+    return base.mapInArrow(run, "doc_id long, lang string, digest binary, " + ", ".join(f"{c} double" for c in [*STATS, *SHARES]))
 
 
 #: Name of the group of all languages in the ranks; no tag has such a sign.
@@ -321,45 +368,92 @@ def exact_ranks(values: DataFrame, keys: list[str], value: str, count: str, part
     return local.join(broadcast_if_small(offsets), [*keys, "__part"]).select(*order, F.col("__n").alias(count), (F.col("__below") + F.col("__offset")).alias("below"), "total")
 
 
+#: Tails that speak for a kind: statistic -> weight, below 0 for the lower tail.
+TAILS = {
+    "junk": {"junk": 2, "end_mark_lines": -1, "common_words": -1, "distinct_words": -1},
+    "table": {"table_share": 2, "digit_ratio": 1, "symbol_ratio": 1, "mean_word_length": 1, "end_mark_lines": -1, "common_words": -1, "mean_line_words": -1, "n_words": -1},
+    "list": {"list_share": 2, "symbol_ratio": 1, "mean_word_length": 1, "end_mark_lines": -1, "common_words": -1, "mean_line_words": -1, "n_words": -1},
+    "disorder": {"disorder": 2, "mean_line_words": 1, "end_mark_lines": -1, "symbol_ratio": -1},
+}
+#: Tail probability below which a value is no stronger evidence: the rarest of many texts would else stand out for the number of texts alone.
+RAREST = 0.01
+#: Standard deviations above the mean score of all texts from which a text is an outlier of a kind: few where a check
+#: of the structure follows, many where the score alone decides.
+DEVIATIONS = {"junk": 0.5, "table": 0.5, "list": 0.5, "disorder": 4.0}
+#: Share of a text that is most of it.
+MOST = 0.5
+#: Parts that a hot value is split into where the ranks are too many to be broadcast.
+SALT = 32
+
+
 def _text_scores(stats: DataFrame, min_texts: int) -> DataFrame:
-    """``lang, digest, score`` of the distinct texts of every language."""
+    """``lang, digest, outlier`` and one score a kind of the distinct texts of every language, written once."""
+    names = [*STATS, *SHARES]
     # copies in one language have the same statistics; min() only picks them
-    texts = written(stats.where(F.col("n_words").isNotNull()).groupBy("lang", "digest").agg(*[F.min(c).alias(c) for c in STATS]), "texts")
+    texts = written(stats.where(F.col("n_words").isNotNull()).groupBy("lang", "digest").agg(*[F.min(c).alias(c) for c in names]), "texts")
     sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
     few = broadcast_if_small(sizes.where(F.col("n") < min_texts).select("lang", F.lit(ALL).alias("__all")))
-    cells = texts.select("lang", "digest", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(STATS)])).alias("c")).select("lang", "digest", "c.stat", "c.value")
+    cells = texts.select("lang", "digest", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(names)])).alias("c")).select("lang", "digest", "c.stat", "c.value")
     counts = cells.groupBy("lang", "stat", "value").agg(F.count("*").alias("n"))
     if not few.isEmpty():
         # a text that stands in several languages is one text here, but for a statistic that depends on the language
         everywhere = cells.select("digest", "stat", "value").distinct().groupBy("stat", "value").agg(F.count("*").alias("n"))
         counts = counts.join(few, "lang", "left_anti").unionByName(everywhere.withColumn("lang", F.lit(ALL)))
     ranks = exact_ranks(counts, ["lang", "stat"], "value", "n")
-    tail = F.least((F.col("below") + F.col("n")) / F.col("total"), (F.col("total") - F.col("below")) / F.col("total"))
-    surprise = ranks.select(F.col("lang").alias("among"), "stat", "value", (-F.log(tail)).alias("surprise"))
+    low, high = (F.col("below") + F.col("n")) / F.col("total"), (F.col("total") - F.col("below")) / F.col("total")
+    surprise = written(ranks.select(F.col("lang").alias("among"), "stat", "value", (-F.log(F.least(low, high))).alias("either"), (-F.log(F.greatest(low, F.lit(RAREST)))).alias("low"), (-F.log(F.greatest(high, F.lit(RAREST)))).alias("high")), "surprise")
     placed = cells.join(few, "lang", "left").withColumn("among", F.coalesce("__all", "lang"))
-    return placed.join(broadcast_if_small(surprise), ["among", "stat", "value"]).groupBy("lang", "digest").agg(F.round(F.sum("surprise"), 6).alias("score"))
+    if surprise.count() <= BROADCAST_ROWS:
+        found = placed.join(F.broadcast(surprise), ["among", "stat", "value"])
+    else:
+        # values that most texts share are split over as many tasks as there are salts
+        salted = surprise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        found = placed.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int")).join(salted, ["among", "stat", "value", "salt"])
+
+    def score(tails: dict[str, int]) -> Column:
+        part = F.lit(0.0)
+        for stat, weight in tails.items():
+            part = F.when(F.col("stat") == names.index(stat), abs(weight) * F.col("high" if weight > 0 else "low")).otherwise(part)
+        return F.sum(part)
+
+    base = F.sum(F.when(F.col("stat") < len(STATS), F.col("either")))
+    scored = found.groupBy("lang", "digest").agg(F.round(base, 6).alias("outlier"), *[F.round(score(t), 6).alias(f"score_{k}") for k, t in TAILS.items()])
+    return written(scored, "scores")
 
 
 def outlier_scores(stats: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``doc_id, score``: the summed surprise of the statistics of every document that has a text, one row per document.
+    """``doc_id, score`` and one score a kind (:data:`TAILS`) of every document that has a text, one row per document.
 
-    The surprise of a value is ``-ln`` of the smaller of the two tail probabilities (values at most, at least as
-    large) among the distinct texts of its language, so copies count once, however many there are, and ties share one
-    probability. Texts of a language with fewer than ``min_texts`` distinct ones are ranked among those of all languages.
+    ``score`` adds up the surprise of all statistics: ``-ln`` of the smaller of the two tail probabilities (values at
+    most, at least as large) among the distinct texts of the document's language, so copies count once, however many
+    there are, and ties share one probability. The score of a kind adds up the one-sided tails that speak for it.
+    Texts of a language with fewer than ``min_texts`` distinct ones are ranked among those of all languages.
     """
-    return stats.where(F.col("n_words").isNotNull()).join(_text_scores(stats, min_texts), ["lang", "digest"]).select("doc_id", "score")
+    scores = _text_scores(stats, min_texts)
+    return stats.where(F.col("n_words").isNotNull()).join(scores, ["lang", "digest"]).select("doc_id", F.col("outlier").alias("score"), *[f"score_{k}" for k in TAILS])
+
+
+def thresholds(scores: DataFrame, deviations: dict[str, float] | None = None) -> dict[str, float]:
+    """Least score of each kind, from the distribution of the scores of all distinct texts."""
+    d = deviations or DEVIATIONS
+    row = scores.agg(*[F.avg(f"score_{k}").alias(f"m_{k}") for k in TAILS], *[F.stddev_pop(f"score_{k}").alias(f"s_{k}") for k in TAILS]).first()
+    return {k: (row[f"m_{k}"] or 0.0) + d[k] * (row[f"s_{k}"] or 0.0) for k in TAILS}
 
 
-def kinds(stats: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """p9: ``doc_id, kind`` of the documents that are no prose: outliers whose structure is junk, a table or a list."""
+def kinds(stats: DataFrame, deviations: dict[str, float] | None = None) -> DataFrame:
+    """p9: ``doc_id, kind`` of the documents that are no prose.
+
+    The structure that has the largest share of a text names the kind it may be; words in no order are junk where the
+    text has no structure. A text is reported if its score for that kind is an outlier, ``deviations`` standard
+    deviations above the mean of all texts; of tables, lists and known forms of junk it is then checked that they are
+    most of the text.
+    """
     stats = written(stats, "quality")
     scores = _text_scores(stats, MIN_TEXTS)
-    kind = (
-        F.when(F.col("junk") >= 0.5, "junk")
-        .when(F.col("table_share") >= 0.5, "table")
-        .when(F.col("list_share") >= 0.5, "list")
-        .when(F.col("disorder") >= MAX_DISORDER, "junk")
-    )
-    found = stats.select("doc_id", "lang", "digest", kind.alias("kind")).where(F.col("kind").isNotNull())
-    # by text, not by id: every row of a repeated id has its own score
-    return found.join(scores.where(F.col("score") >= min_score), ["lang", "digest"], "left_semi").select("doc_id", "kind")
+    least = thresholds(scores, deviations)
+    share = F.greatest("junk", "table_share", "list_share")
+    named = F.when(share == 0, "disorder").when(F.col("junk") == share, "junk").when(F.col("table_share") == share, "table").otherwise("list")
+    texts = stats.where(F.col("n_words").isNotNull()).withColumn("__kind", named)
+    outlier = F.coalesce(*[F.when(F.col("__kind") == k, F.col(f"score_{k}") >= t) for k, t in least.items()])
+    candidates = texts.join(scores, ["lang", "digest"]).where(outlier)
+    return candidates.where((F.col("__kind") == "disorder") | (share >= MOST)).select("doc_id", F.when(F.col("__kind") == "disorder", "junk").otherwise(F.col("__kind")).alias("kind"))

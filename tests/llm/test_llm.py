@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from strandline.session import written
 from strandline.llm import leakage, neardup, quality, scans, sentences, tokens
 from strandline.llm.queries import tokenizer_path
 
@@ -173,7 +174,7 @@ def test_kinds(spark):
     lex = spark.createDataFrame([("the", "en", True), ("of", "en", True)], "word string, lang string, is_common boolean")
     stats = quality.statistics(df, lex)
     assert stats.count() == len(docs)
-    got = {r.doc_id: r.kind for r in quality.kinds(stats, 3.0).collect()}
+    got = {r.doc_id: r.kind for r in quality.kinds(stats).collect()}
     assert got == {100: "list", 101: "table", 102: "junk", 103: "junk", 107: "junk", 109: "junk"}
     assert quality.kinds(quality.statistics(df.limit(0), lex)).count() == 0
 
@@ -210,6 +211,51 @@ def test_word_order_covers_all_texts_of_a_language(spark):
 
 def test_neighbour_counts(spark, monkeypatch):
     texts = [("en", "a b a b"), ("en", "b a"), ("en", "a b a b"), ("fr", "a b a b"), ("en", None)]
-    df = spark.createDataFrame(texts, "lang string, text string").selectExpr("lang", "unhex(md5(text)) AS digest", "text")
-    want = {("en", "a", None): 3, ("en", "b", None): 3, ("en", "a", "b"): 2, ("en", "b", "a"): 2, ("fr", "a", None): 2, ("fr", "b", None): 2, ("fr", "a", "b"): 2, ("fr", "b", "a"): 1}
-    assert {(r.lang, r.a, r.b): r.n for r in quality.neighbour_counts(df).collect()} == want
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").selectExpr("doc_id", "lang", "unhex(md5(text)) AS digest", "text")
+    codes = quality._Codes()
+    a, b = codes["a"], codes["b"]
+    ab, ba = quality._pairs(quality.np.array([a, b, a])).tolist()
+    want = {("en", False, a): 3, ("en", False, b): 3, ("en", True, ab): 2, ("en", True, ba): 2, ("fr", False, a): 2, ("fr", False, b): 2, ("fr", True, ab): 2, ("fr", True, ba): 1}
+    for held in (quality.HELD, 1):
+        monkeypatch.setattr(quality, "HELD", held)
+        assert {(r.lang, r.pair, r.code): r.n for r in quality.neighbour_counts(df).collect()} == want
+
+
+def test_disorder_of_a_text_is_that_of_its_words():
+    rng = random.Random(8)
+    codes = quality._Codes()
+    texts = [codes.of([rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 5, 40]))]) for _ in range(30)]
+    words = quality.np.sort(quality.np.array(codes.of(list("abcdef"))))
+    known = {tuple(codes.of([x, y])) for x in "abcdef" for y in "abc"}
+    pairs = quality.np.sort(quality.np.array([quality._pairs(quality.np.array(p))[0] for p in known]))
+
+    def brute(t):
+        both = [(x, y) for x, y in zip(t, t[1:]) if {x, y} <= set(words.tolist())]
+        return sum(p not in known for p in both) / len(both) if len(both) >= quality.LEAST_NEIGHBOURS else 0.0
+
+    assert quality.disorder(texts, words, pairs) == [brute(t) for t in texts]
+
+
+def test_words_in_no_order_are_told_by_the_score(spark):
+    rng = random.Random(4)
+    nouns = "market town river spring people harvest road village winter trade field school".split()
+    verbs = "fell rose closed opened failed moved began ended".split()
+    prose = lambda n: " ".join(f"The {rng.choice(nouns)} of this {rng.choice(nouns)} {rng.choice(verbs)} in spring, so every {rng.choice(nouns)} near it {rng.choice(verbs)} soon." for _ in range(n))
+    docs = [(i, "\n".join(prose(1) for _ in range(rng.randint(2, 3))), "en") for i in range(400)]
+    shuffled = [w.strip(".,").lower() for w in prose(6).split()]
+    rng.shuffle(shuffled)
+    docs.append((900, " ".join(shuffled), "en"))
+    lex = spark.createDataFrame([("the", "en", True)], "word string, lang string, is_common boolean")
+    stats = quality.statistics(spark.createDataFrame(docs, "doc_id long, text string, lang string"), lex)
+    assert [tuple(r) for r in quality.kinds(stats).collect()] == [(900, "junk")]
+    assert quality.kinds(stats, dict.fromkeys(quality.TAILS, -99.0)).count() > 300  # the score decides
+
+
+def test_scores_are_the_same_where_ranks_are_too_many_to_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["rain", "the", "7", "field."]) for _ in range(rng.randint(1, 9))), rng.choice(["en", "fr"])) for i in range(200)]
+    lex = spark.createDataFrame([("the", "en", True)], "word string, lang string, is_common boolean")
+    stats = written(quality.statistics(spark.createDataFrame(docs, "doc_id long, text string, lang string"), lex), "stats")
+    want = sorted(map(tuple, quality.outlier_scores(stats).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, quality.outlier_scores(stats).collect())) == want
