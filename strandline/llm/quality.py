@@ -43,14 +43,14 @@ _CSV = re.compile(r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)')
 _NUMBER = re.compile(r"^[-+]?[\d.,  ]*\d%?$|^(?:-|n/a|–)?$")
 _MOJIBAKE = re.compile("[Ã][\x80-¿]|[Â][\x80-¿]|[\x80-\x9f]|â€|�")
 _DIGITS = re.compile(r"\d")
-_HEX = re.compile(r"(?=[a-f]*\d)[0-9a-f]{8,}$")
+_HEX = re.compile(r"(?<!\S)(?=[a-f]*\d)[0-9a-f]{8,}(?!\S)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{36,}={0,2}$")
 _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2}){3,}|(?:\\[ux][0-9a-fA-F]{2,4}){3,}|&#?\w{2,6};")
 # Labels of page navigation.
 NAVIGATION = frozenset("home login logout next previous search print menu contact rss share top about cookies subscribe sitemap help back register download".split())
 _CASELESS = re.compile(r"[؀-ۿऀ-ॿ฀-໿ሀ-፿぀-ヿ一-鿿]")
-_VOWEL = re.compile(r"[aeiouyàâäáãåéèêëíìîïóòôöõúùûüœæø]", re.I)
-_NAVIGATION = re.compile(r"\s[|·»›•>/—–]\s")
+_VOWELLESS = re.compile(r"(?<!\S)[^aeiouy\s]+(?!\S)")
+_SEPARATORS = frozenset("|·»›>•/—–")
 
 
 def _cells(line: str) -> int:
@@ -62,9 +62,9 @@ def _cells(line: str) -> int:
         parts = text.split("\t")
     elif text.count(";") >= 1 and not text.endswith(";") and " " not in text.replace("; ", ";").partition(";")[0].strip()[30:]:
         parts = text.split(";")
-    elif _GAPS.search(text):
+    elif "  " in text and _GAPS.search(text):
         parts = re.split(r" {2,}|\t", text)
-    elif "," in text and not re.search(r", ", text.replace('", "', '","')):
+    elif "," in text and ", " not in text.replace('", "', '","'):
         parts = [m.strip('"') for m in _CSV.findall(text)]
     else:
         return 0
@@ -106,11 +106,12 @@ def structure(text: str) -> tuple[float, float]:
     table = sum(len(lines[i].strip()) for i in rows)
     items = 0
     n_items = 0
+    caseless = _CASELESS.search(text) is not None
     for i, line in enumerate(lines):
         if i in rows:
             continue
         s = line.strip()
-        wide = _CASELESS.search(s) is not None
+        wide = caseless and _CASELESS.search(s) is not None
         short = (len(s) <= 40 if wide else len(s) <= 70 and s.count(" ") < 7)
         ends = _ENDS.search(s) is not None
         # a marked line that holds a sentence is speech or prose, not an item
@@ -137,34 +138,38 @@ def junk_share(text: str, words: list[str], digits: int) -> float:
     tokens = text.split()
     n = len(tokens)
     size = sum(map(len, tokens)) or 1
-    score = min(1.0, 8 * sum(map(len, _MOJIBAKE.findall(text))) / size)
-    encoded = sum(len(t) for t in tokens if len(t) >= 8 and (_HEX.match(t) or len(t) >= 36 and _BASE64.match(t)))
+    letters = sum(map(len, words))
+    score = 0.0
+    if not text.isascii():
+        score = min(1.0, 8 * sum(map(len, _MOJIBAKE.findall(text))) / size)
+    encoded = sum(map(len, _HEX.findall(text))) if digits else 0
+    if max(map(len, tokens)) >= 36:
+        encoded += sum(len(t) for t in tokens if len(t) >= 36 and not _HEX.fullmatch(t) and _BASE64.match(t))
     if "%" in text or "&" in text or "\\" in text:
         encoded += sum(map(len, _ESCAPED.findall(text)))
     score = max(score, min(1.0, 1.2 * encoded / size))
     # signs that are neither letters, digits nor what prose and tables are punctuated with
-    if sum(map(len, words)) + digits < 0.35 * size and sum(map(len, words)) + digits + len(_CASELESS.findall(text)) < 0.35 * size:
+    if letters + digits < 0.35 * size and letters + digits + len(_CASELESS.findall(text)) < 0.35 * size:
         score = max(score, 1.0 if size > 15 else 0.6)
     if n >= 12:
-        counts = Counter(tokens)
-        distinct = len(counts)
+        distinct = len(set(tokens))
         if distinct <= 0.2 * n or distinct <= 3:
             score = 1.0
-        separators = sum(counts.get(s, 0) for s in ("|", "·", "»", "›", ">", "•", "/", "—", "–"))
-        if separators >= 0.3 * n and digits < 0.05 * size and "\n" not in text.strip():
+        if digits < 0.05 * size and "\n" not in text.strip() and sum(t in _SEPARATORS for t in tokens) >= 0.3 * n:
             score = 1.0
         if distinct <= 0.6 * n and 1 - len(set(zip(tokens, tokens[1:], tokens[2:], tokens[3:]))) / (n - 3) >= 0.6:
             score = 1.0
-        if sum(1 for w in words if w in NAVIGATION) >= 0.3 * max(8, len(words)):
+        if sum(map(NAVIGATION.__contains__, words)) >= 0.3 * max(8, len(words)):
             score = 1.0
-        if n >= 20 and size < 1.7 * n and digits < 0.5 * size and sum(map(len, words)) + len(_CASELESS.findall(text)) >= 0.4 * size:
+        if n >= 20 and size < 1.7 * n and digits < 0.5 * size and letters + len(_CASELESS.findall(text)) >= 0.4 * size:
             score = 1.0
     elif len(text) > 200:
         chunk = text.strip()[:12]
         if chunk and text.count(chunk) * len(chunk) > 0.6 * len(text):
             score = 1.0
-    latin = {w for w in words if len(w) > 1 and w.isascii()}
-    if len(latin) >= 8 and sum(1 for w in latin if not _VOWEL.search(w)) >= 0.5 * len(latin) and len(latin) >= 0.6 * len(set(words)):
+    types = set(words)
+    latin = [w for w in types if w.isascii() and len(w) > 1]
+    if len(latin) >= 8 and len(_VOWELLESS.findall(" ".join(latin))) >= 0.5 * len(latin) and len(latin) >= 0.6 * len(types):
         score = 1.0
     return score
 
@@ -393,22 +398,22 @@ def _text_scores(stats: DataFrame, min_texts: int) -> DataFrame:
     texts = written(stats.where(F.col("n_words").isNotNull()).groupBy("lang", "digest").agg(*[F.min(c).alias(c) for c in names]), "texts")
     sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
     few = broadcast_if_small(sizes.where(F.col("n") < min_texts).select("lang", F.lit(ALL).alias("__all")))
-    cells = texts.select("lang", "digest", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(names)])).alias("c")).select("lang", "digest", "c.stat", "c.value")
-    counts = cells.groupBy("lang", "stat", "value").agg(F.count("*").alias("n"))
+    counts = _value_counts(texts.select("lang", *names))
     if not few.isEmpty():
         # a text that stands in several languages is one text here, but for a statistic that depends on the language
-        everywhere = cells.select("digest", "stat", "value").distinct().groupBy("stat", "value").agg(F.count("*").alias("n"))
+        spread = texts.select("digest", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(names)])).alias("c"))
+        everywhere = spread.select("digest", "c.stat", "c.value").distinct().groupBy("stat", "value").agg(F.count("*").alias("n"))
         counts = counts.join(few, "lang", "left_anti").unionByName(everywhere.withColumn("lang", F.lit(ALL)))
     ranks = exact_ranks(counts, ["lang", "stat"], "value", "n")
     low, high = (F.col("below") + F.col("n")) / F.col("total"), (F.col("total") - F.col("below")) / F.col("total")
     surprise = written(ranks.select(F.col("lang").alias("among"), "stat", "value", (-F.log(F.least(low, high))).alias("either"), (-F.log(F.greatest(low, F.lit(RAREST)))).alias("low"), (-F.log(F.greatest(high, F.lit(RAREST)))).alias("high")), "surprise")
-    placed = cells.join(few, "lang", "left").withColumn("among", F.coalesce("__all", "lang"))
+    placed = texts.join(few, "lang", "left").select("lang", "digest", F.coalesce("__all", "lang").alias("among"), *names)
     if surprise.count() <= BROADCAST_ROWS:
-        found = placed.join(F.broadcast(surprise), ["among", "stat", "value"])
-    else:
-        # values that most texts share are split over as many tasks as there are salts
-        salted = surprise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        found = placed.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int")).join(salted, ["among", "stat", "value", "salt"])
+        return written(_looked_up(placed, surprise), "scores")
+    cells = placed.select("lang", "digest", "among", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(names)])).alias("c")).select("lang", "digest", "among", "c.stat", "c.value")
+    # values that most texts share are split over as many tasks as there are salts
+    salted = surprise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    found = cells.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int")).join(salted, ["among", "stat", "value", "salt"])
 
     def score(tails: dict[str, int]) -> Column:
         part = F.lit(0.0)
@@ -421,6 +426,48 @@ def _text_scores(stats: DataFrame, min_texts: int) -> DataFrame:
     return written(scored, "scores")
 
 
+def _value_counts(texts: DataFrame) -> DataFrame:
+    """``lang, stat, value, n``: how many rows have which value, counted in each batch before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            langs = batch.column(0).to_numpy(zero_copy_only=False)
+            for lang in sorted(set(langs)):
+                mine = langs == lang
+                for stat in range(1, batch.num_columns):
+                    values, n = np.unique(batch.column(stat).to_numpy()[mine], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array([stat - 1] * len(values), pa.int32()), pa.array(values), pa.array(n, pa.int64())], names=["lang", "stat", "value", "n"])
+
+    return texts.mapInArrow(run, "lang string, stat int, value double, n long").groupBy("lang", "stat", "value").agg(F.sum("n").alias("n"))
+
+
+def _looked_up(placed: DataFrame, surprise: DataFrame) -> DataFrame:
+    """The scores of ``placed`` with the surprises (of counted size) as sorted columns in every worker: no join, no shuffle."""
+    names = [*STATS, *SHARES]
+    ordered = surprise.orderBy("among", "stat", "value").toPandas()
+    columns = {key: tuple(g[c].to_numpy() for c in ("value", "either", "low", "high")) for key, g in ordered.groupby(["among", "stat"])}
+    shared = placed.sparkSession.sparkContext.broadcast(columns)
+    fields = ["outlier", *[f"score_{k}" for k in TAILS]]
+
+    def run(batches):
+        for batch in batches:
+            among = batch.column(2).to_numpy(zero_copy_only=False)
+            out = np.zeros((len(fields), len(among)))
+            for key in sorted(set(among)):
+                mine = among == key
+                for i, name in enumerate(names):
+                    value, either, low, high = shared.value[key, i]
+                    at = np.searchsorted(value, batch.column(3 + i).to_numpy()[mine])
+                    if i < len(STATS):
+                        out[0, mine] += either[at]
+                    for k, tails in enumerate(TAILS.values(), 1):
+                        if weight := tails.get(name):
+                            out[k, mine] += abs(weight) * (high if weight > 0 else low)[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.round(o, 6)) for o in out]], names=["lang", "digest", *fields])
+
+    return placed.mapInArrow(run, "lang string, digest binary, " + ", ".join(f"{f} double" for f in fields))
+
+
 def outlier_scores(stats: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``doc_id, score`` and one score a kind (:data:`TAILS`) of every document that has a text, one row per document.
 
