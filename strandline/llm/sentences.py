@@ -3,12 +3,13 @@
 Characters are tagged *boundary* or *inside*. Only a run of end marks (with the closing quotes and brackets
 behind it) or, in scripts that put no marks at the end, a blank can be a boundary, so the chain of a
 paragraph has one node per such place and all other characters are inside. A node is scored by log-linear
-weights on what stands before and behind it; the transition weights see whether the node before was a
-boundary and whether a quotation opened there, which tells a quotation that starts a sentence (and goes on
-after it) from one that ends it. Within quotes no node is a boundary.
+weights on what stands before and behind it (character classes, known abbreviations, the shape of an unknown word)
+and by transition weights on the tag, the kind and the distance of the node before: a boundary close behind another
+is unlikely, and whether a quotation opened at a boundary tells a quotation that starts a sentence (and goes on after
+it) from one that ends it. Places within quotes are no nodes: a quotation is never split.
 
-The weights are fitted by the averaged structured perceptron on :data:`EXAMPLES`. For unpunctuated scripts
-the examples are marked sentences with their marks stripped and a blank left in their place.
+The weights are fitted by the averaged structured perceptron on :data:`EXAMPLES`, marked paragraphs of the module; for
+unpunctuated scripts they are marked sentences with their marks stripped and a blank left in their place.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ GERMAN_MONTHS = frozenset("Januar Februar März April Mai Juni Juli August Septe
 # German words before an ordinal number.
 ORDINAL_LEADS = frozenset("der die das dem den des am vom zum im beim zur jeder jeden bis ab".split())
 
-MARKS = ".!?…。！？．｡।॥؟۔።፧፨։"
+MARKS = ".!?…。！？．｡।॥؟۔።፧፨։།༎༑။។៕⸮᙮᠃᠉꓿꘎꛳\u037e"
 OPENERS, CLOSERS = "“„«「『《〈‹", "”»」』》〉›"
 #: In these scripts a blank can end a sentence.
-_BLANK_SCRIPT = re.compile(r"[฀-๿຀-໿ក-៿က-႟]")
-_PLACE = re.compile(r"[.!?…。！？．｡।॥؟۔።፧፨։]+|[“”„«»「」『』‹›\"]")
-_PLACE_OR_BLANK = re.compile(r"[.!?…。！？．｡।॥؟۔።፧፨։]+|[“”„«»「」『』‹›\"]|[^\S\n]+")
+_BLANK_SCRIPT = re.compile(r"[฀-๿຀-໿]")
+#: A semicolon behind a Greek letter is a question mark.
+_MARK_RUN = rf"[{re.escape(MARKS)}]+|(?<=[Ͱ-Ͽἀ-῿]);"
+_PLACE = re.compile(_MARK_RUN + r"|[“”„«»「」『』‹›\"]")
+_PLACE_OR_BLANK = re.compile(_MARK_RUN + r"|[“”„«»「」『』‹›\"]|[^\S\n]+")
 _PARAGRAPH = re.compile(r"\r?\n[^\S\n]*(?:\r?\n\s*)")
 _SPACE = re.compile(r"\s*")
 _BRACKET = ")]）】》〉}"
 _WIDE_MARKS = frozenset("。！？．｡")
+_OWN_MARKS = frozenset(MARKS) - _WIDE_MARKS - frozenset(".!?…")
 _CASELESS_LEAD = re.compile(r"[-‐–/(\[（¿¡'’‘]")
 
 
@@ -105,10 +109,10 @@ def _behind(text: str, at: int, end: int) -> str:
 class Node:
     """A place that may be a boundary: ``end`` is the offset behind its marks and closers."""
 
-    __slots__ = ("end", "key", "quoted", "opens")
+    __slots__ = ("end", "key", "quoted", "opens", "shape")
 
-    def __init__(self, end: int, key: tuple, quoted: str, opens: bool):
-        self.end, self.key, self.quoted, self.opens = end, key, quoted, opens
+    def __init__(self, end: int, key: tuple, quoted: str, opens: bool, shape: str = ""):
+        self.end, self.key, self.quoted, self.opens, self.shape = end, key, quoted, opens, shape
 
 
 def nodes(text: str, start: int, end: int) -> list[Node]:
@@ -122,7 +126,7 @@ def nodes(text: str, start: int, end: int) -> list[Node]:
             continue
         c = text[at]
         mark, quote = "", ""
-        if c in MARKS:
+        if c in MARKS or c == ";":
             mark = m[0]
         elif c.isspace():
             if closer is None and at > start and stop < end:
@@ -159,19 +163,37 @@ def nodes(text: str, start: int, end: int) -> list[Node]:
         after = _SPACE.match(text, stop, end).end()
         gap = "sp" if after > stop else "no"
         behind = _behind(text, after, end)
-        if gap == "no" and behind in ("low", "dig", "punct"):
-            continue
         first = mark[:1] or text[at - 1 if not text[at - 1].isspace() else at - 2]
-        style = "wide" if first in _WIDE_MARKS else "own" if first in "।॥؟۔።፧፨։" else "blank" if blanks else "latin"
+        style = "wide" if first in _WIDE_MARKS else "own" if first in _OWN_MARKS else "blank" if blanks else "latin"
+        # behind a wide mark nothing stands between sentences, so a figure can begin the next one
+        if gap == "no" and (behind in ("low", "punct") or behind == "dig" and style != "wide"):
+            continue
         if quote and not (mark and quote == "plain"):
             lead = text[start:open_at].rstrip()[-1:]
             opened = "colon" if lead and lead in ":：" else "start" if not lead else "mid"
             out.append(Node(stop, ("quote", quote, behind, opened if behind in ("other", "to") else "", style), "colon" if opened == "colon" else "free", False))
         else:
-            out.append(Node(stop, ("mark", _before(text, start, at, mark) if not quote else "mark", behind, gap, style), "", behind == "open" and text[after] in "“„«「『‹\""))
+            out.append(Node(stop, ("mark", _before(text, start, at, mark) if not quote else "mark", behind, gap, style), "", behind == "open" and text[after] in "“„«「『‹\"", _shape(text, start, at, mark) if not quote else ""))
     return out
 
 
+_VOWELS = frozenset("aeiouyàáâãäåèéêëìíîïòóôõöùúûüýąęóıœæøůěőű")
+
+
+def _shape(text: str, start: int, at: int, mark: str) -> str:
+    """Form of the word before a single full stop, whatever its language: short words and words without vowels are often cut short."""
+    if mark != ".":
+        return ""
+    i = at
+    while i > start and text[i - 1].isalpha():
+        i -= 1
+    word = text[i:at].lower()
+    if not word or not (word[0] in _VOWELS or "a" <= word[0] <= "ž"):
+        return ""
+    vowelless = not _VOWELS.intersection(word)
+    return "" if len(word) > 3 and not vowelless else f"{min(len(word), 4)}{'-' if vowelless else ''}"
+
+
 def _features(key: tuple) -> list[tuple]:
     kind = key[0]
     if kind == "blank":
@@ -181,6 +203,12 @@ def _features(key: tuple) -> list[tuple]:
     return [key, ("m", key[1], key[2]), ("b", key[1]), ("n", key[2], key[4]), ("w", key[4])]
 
 
+def _node_features(node: Node) -> list[tuple]:
+    """The features of a place and, where a list does not know the word, its shape before what follows."""
+    some = _features(node.key)
+    return some + [("s", node.shape, node.key[2])] if node.shape and node.key[1] == "word" else some
+
+
 class Model:
     """Weights of the chain; ``decode`` is Viterbi over the tags boundary and inside."""
 
@@ -188,19 +216,28 @@ class Model:
         self.w: dict = defaultdict(float)
         self.memo: dict = {}
 
-    def _score(self, key: tuple) -> float:
+    def _score(self, node: Node) -> float:
+        key = (node.key, node.shape)
         s = self.memo.get(key)
         if s is None:
-            s = self.memo[key] = sum(self.w.get(f, 0.0) for f in _features(key))
+            s = self.memo[key] = sum(self.w.get(f, 0.0) for f in _node_features(node))
         return s
 
     @staticmethod
-    def _link(before: Node | None, node: Node, boundary_before: bool) -> tuple | None:
-        """Transition feature of a closing quote: did the sentence start with the quotation?"""
-        if not node.quoted:
-            return None
-        started = before is None if node.quoted == "free" and node.key[3] == "start" else before is not None and before.opens and boundary_before
-        return ("t", node.key[2], "started" if started else node.quoted)
+    def _links(before: Node | None, node: Node, boundary_before: bool) -> list[tuple]:
+        """Transition features of a boundary at ``node``: the tag and kind of the place before and how near it is."""
+        links = []
+        if before is not None and node.key[-1] == "latin":
+            near = "near" if node.end - before.end < 7 else "far"
+            links.append(("l", node.key[0], before.key[0], near, boundary_before))
+        if node.quoted:
+            # did the sentence start with the quotation?
+            started = before is None if node.quoted == "free" and node.key[3] == "start" else before is not None and before.opens and boundary_before
+            links.append(("t", node.key[2], "started" if started else node.quoted))
+        return links
+
+    def _link(self, before: Node | None, node: Node, boundary_before: bool) -> float:
+        return sum(self.w.get(f, 0.0) for f in self._links(before, node, boundary_before))
 
     def decode(self, chain: list[Node]) -> list[bool]:
         if not chain:
@@ -208,9 +245,8 @@ class Model:
         inside, boundary, back = 0.0, float("-inf"), []
         before = None
         for node in chain:
-            emit = self._score(node.key)
-            a = emit + self.w.get(self._link(before, node, False), 0.0) if node.quoted else emit
-            b = emit + self.w.get(self._link(before, node, True), 0.0) if node.quoted else emit
+            emit = self._score(node)
+            a, b = emit + self._link(before, node, False), emit + self._link(before, node, True)
             # score of tagging this node boundary, coming from inside and from boundary
             from_inside, from_boundary = inside + a, boundary + b
             back.append((from_boundary > from_inside, boundary > inside))
@@ -226,10 +262,8 @@ class Model:
         before, was = None, False
         for node, tag in zip(chain, tags):
             if tag:
-                for f in _features(node.key):
+                for f in _node_features(node) + self._links(before, node, was):
                     self.w[f] += step
-                if link := self._link(before, node, was):
-                    self.w[link] += step
             before, was = node, tag
         self.memo.clear()
 
@@ -265,6 +299,7 @@ def stripped(sentences: list[str]) -> str:
 
 
 EXAMPLES = [
+    "The market fell in May. |The roads closed in March! |2,831 people left town. |85 came back. |Was it cold? |53 died. |(It ends by May.) |17 stay. |It sold 20. |The rest was lost. |The taux in mai. |Voir la page. |He left in the war. |The age of it all. |No one won the war! |Go on.",
     "The river rose fast. |Nobody had seen it before! |Was it safe? |People left. |12 houses fell. |Was it late?! |“So it was,” said Ann. |(They came back.) |They stayed!",
     "It grew by 4.5 points, i.e. by a lot. |See Fig. 2 and pp. 3–4 of vol. 5 (cf. Brown et al., 2010). |Dr. Smith of the institute met Gov. Jones on 15 Jan. 2018 near St. Mary clinic. |J. M. Brown wrote it. |The U.N. team and the Acme Co. Ltd. signed no agreement. |No. 7 on the list had approx. 9 visits.",
     "They had maize, beans, etc. |The rest was lost. |It began at 7 a.m. and ended at 4.30 p.m. |See Sec. 2.1 of the report. |pH values fell. |5 of them fell. |“Go.” |We counted rice etc. and left in Jan. |They met on 3 Feb. 2012 there.",
@@ -277,10 +312,20 @@ EXAMPLES = [
     "सड़क बंद रही। |क्या होगा? |कितनी हानि हुई! |श्री के. राम ने कहा। |डॉ. राम ने दौरा किया। |“वे आए। वे गए,” राम ने कहा। |“2020 में वे आए। वे गए,” राम ने कहा। |2020 में वे आए। |सूचकांक 89.39 पर आया।",
     "ከባድ ድርቅ ነው። |እንዴት ያለ ጉዳት! |ያበቃል? |ዶ/ር ሰመፈ ጎበኙ። |«ዝናብ ነው። ጎርፍ ነው።» አለ ሰመፈ። |መጠኑ ከ4.5 ወረደ። |«ዝናብ ነው።» አለ ሰመፈ። |በ2010 ነው።",
     "价格上涨了86.50%。|观察组问：“还要多久？”|没有人回答。|“水没了！”李喊道。|李说：“水没了。路断了。”|道路关闭。|干旱会结束吗？|2021年，雨来了。|《公报》第13期指出，雨来了！|李说：“雨来了。”|“水没了！”李喊道。|李说：“雨来了。”|《公报》说了。|合作社沉默了……然后走了。|“雨来了。”李说。",
-    "“水没了！”李喊道。|道路关闭。",
+    "“水没了！”李喊道。|道路关闭。|2021年，雨来了。|李走了！|12人留下。|“雨来了。”|2019年，路断了。|指数为3.5（图2）。|会结束吗？|5月以来没有雨。",
     "「水がない！」と叫んだ。|道は閉鎖された。|会は「いつまで？」と尋ねた。|「雨だ。水だ。」と述べた。|指数は下がった（図3.3参照）。|8月から雨だ！|「雨だ。」と述べた。|終わるのか？|彼は黙り……そして触れた。",
     "「雨だ。水だ。」と述べた。|8月から雨だ！",
     "«ዝናብ ነው። ጎርፍ ነው።» አለ ሰመፈ። |ከባድ ድርቅ ነው።",
+    # scripts with marks of their own, and languages whose abbreviations are in no list
+    "Ποιος ήρθε; |Κανείς δεν ήξερε. |Γιατί έφυγε; |Έπεσε η βροχή. |Το νερό ανέβηκε.",
+    "བོད་ལ་ཆར་པ་བབས། |ཆུ་བོ་རྒྱས་སོ། |ལམ་ཆད་སོ།",
+    "မိုးရွာသည်။ |ရေကြီးသည်။ |လမ်းပိတ်သည်။ |၁၂ အိမ်ပျက်သည်။",
+    "ភ្លៀងធ្លាក់។ |ទឹកឡើង។ |ផ្លូវបិទ។ |១២ ផ្ទះបាត់។",
+    "Kupił np. kukurydzę, tj. ziarno. |Rzeka wylała. |Deszcz padał dwa dni. |Wg rady zginęło ok. 30 owiec. |Woda opadła. |30 osób wyjechało. |Szkoła stoi przy ul. Polnej. |Dom ma 5 okien.",
+    "De rivier steeg snel. |Men vond o.a. maïs, nl. 6 zakken. |Het begon om 7 uur. |De raad zag blz. 5 van dl. 2. |Het dorp is leeg. |Zij kwamen.",
+    "Il fiume è salito. |Il sig. Rossi vide pag. 5 del vol. 2. |La strada è chiusa. |Tutti tacquero. |Mancava il riso ecc. |Poi venne la pioggia. |Ora è sera.",
+    "Nehir yükseldi. |Bkz. s. 5 ve ör. 3. |Yol kapandı. |Köy boş. |Su çekildi. |12 ev yıkıldı.",
+    "Río subió. |Řeka stoupla. |Viz např. str. 5 a obr. 3. |Cesta je zavřená. |Déšť padal dva dny. |Nyní je tma.",
     # unpunctuated: marks stripped, blanks left
     stripped(["ฝนตกหนัก.", "ราคาสูงขึ้นร้อยละ 18.97 ในปีนี้.", "ต่าง ๆ ที่ขาดน้ำ.", "ดร.สมชายไปเยือน.", "สมชายกล่าวว่า “ฝนตก น้ำท่วม”", "ถนนถูกปิด.", "น้ำแห้ง."]),
     stripped(["ดัชนีลดจาก 64.78 เป็น 30.63 จุด.", "เขากล่าวว่า “ราคาสูง ฝนตก”", "ราคาสูง.", "เขากล่าวว่า “ฝนตก”", "ฝนตก."]),

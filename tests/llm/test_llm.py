@@ -259,3 +259,29 @@ def test_scores_are_the_same_where_ranks_are_too_many_to_broadcast(spark, monkey
     want = sorted(map(tuple, quality.outlier_scores(stats).collect()))
     monkeypatch.setattr(quality, "BROADCAST_ROWS", 1)
     assert sorted(map(tuple, quality.outlier_scores(stats).collect())) == want
+
+
+def test_large_test_sets_are_joined_with_the_same_result(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    gold = [(i, text(rng.choice([5, 10, 14, 400]))) for i in range(40)] + [(90, None)]
+    docs = [(i, " ".join([text(8), *rng.choice(gold[:40])[1].split()[: rng.choice([9, 10, 12])], text(5)])) for i in range(80)]
+    docs += [(500 + i, docs[0][1]) for i in range(40)] + [(900, None), (901, ""), (0, docs[1][1])]
+    d, g = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(gold, "item_id long, item_text string")
+    want = sorted(map(tuple, leakage.leaks(d, g).collect())), sorted(map(repr, leakage.remove_leaks(d, g).collect()))
+    assert want[0]
+    monkeypatch.setattr(leakage, "MAX_NGRAMS", 10)
+    assert (sorted(map(tuple, leakage.leaks(d, g).collect())), sorted(map(repr, leakage.remove_leaks(d, g).collect()))) == want
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Τι είναι αυτό; |Δεν ξέρω. |Πάμε.", "བོད་ལ་ཆར་པ་བབས། |ཆུ་བོ་རྒྱས་སོ། |ལམ་ཆད་སོ།", "ရေကြီးသည်။ |လမ်းပိတ်သည်။", "ទឹកឡើង។ |ផ្លូវបិទ។", "Kupił np. chleb, tj. bułkę. |Deszcz padał. |Noc.",
+        "雨来了！|2021年，路断了。|3人走了。", "He has a; but few left. |They left.", "Is it no. 5? |12 came. |All went.",
+    ],
+)
+def test_other_scripts_and_languages(text):
+    plain = text.replace("|", "")
+    assert [plain[a:b] for a, b in sentences.sentence_spans(plain)] == [p.strip() for p in text.split("|")]
