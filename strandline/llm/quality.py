@@ -34,7 +34,10 @@ SHARES = ["table_share", "list_share", "junk", "disorder"]
 MIN_TEXTS = 50
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_TOKENS = re.compile(r"\S+")
+# the same for texts of Latin letters only, as a set of characters that is matched faster
+_LATIN = "a-zª²³µ¹º¼½¾ß-öø-ɏ"
+_LATIN_WORDS = re.compile(f"[{_LATIN}]+(?:['’-][{_LATIN}]+)*")
+_NOT_LATIN = re.compile("[^\x00-\u024f\u2000-\u206f\u20a0-\u20cf]")
 _ENDS = re.compile(r"[.!?…。！？।॥؟።][\"'”’»“)\]」』）]*$")
 _SENTENCE_END = re.compile(r"[.!?。！？।॥؟።]")
 _BULLET = re.compile(r"^\s*(?:[-*•–—·‣◦▪+✓→>]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxlcIVXLC]+[.)])\s+\S")
@@ -42,6 +45,7 @@ _GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _CSV = re.compile(r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)')
 _NUMBER = re.compile(r"^[-+]?[\d.,  ]*\d%?$|^(?:-|n/a|–)?$")
 _MOJIBAKE = re.compile("[Ã][\x80-¿]|[Â][\x80-¿]|[\x80-\x9f]|â€|�")
+_MOJIBAKE_SIGN = re.compile("[ÃÂ\x80-\x9fâ�]")
 _DIGITS = re.compile(r"\d")
 _HEX = re.compile(r"(?<!\S)(?=[a-f]*\d)[0-9a-f]{8,}(?!\S)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{36,}={0,2}$")
@@ -53,6 +57,12 @@ _VOWELLESS = re.compile(r"(?<!\S)[^aeiouy\s]+(?!\S)")
 _SEPARATORS = frozenset("|·»›>•/—–")
 
 
+def lower_words(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    low = text.lower()
+    return (_WORDS if _NOT_LATIN.search(low) else _LATIN_WORDS).findall(low)
+
+
 def _cells(line: str) -> int:
     """Number of cells of a line that could be a table row; 0 if it is none."""
     text = line.strip()
@@ -129,18 +139,17 @@ def structure(text: str) -> tuple[float, float]:
     return table / total, items / total
 
 
-def junk_share(text: str, words: list[str], digits: int) -> float:
+def junk_share(text: str, tokens: list[str], words: list[str], digits: int) -> float:
     """How far a text is junk of a known form, 0 to 1; 0.5 and more is junk.
 
     Forms: garbled or encoded characters, noise of signs, page navigation, endless repetition, words without
     vowels, and single characters in no order.
     """
-    tokens = text.split()
     n = len(tokens)
     size = sum(map(len, tokens)) or 1
     letters = sum(map(len, words))
     score = 0.0
-    if not text.isascii():
+    if _MOJIBAKE_SIGN.search(text):
         score = min(1.0, 8 * sum(map(len, _MOJIBAKE.findall(text))) / size)
     encoded = sum(map(len, _HEX.findall(text))) if digits else 0
     if max(map(len, tokens)) >= 36:
@@ -227,7 +236,7 @@ def neighbour_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                held[lang].append([*codes.of(_WORDS.findall(text.lower())), 0])
+                held[lang].append([*codes.of(lower_words(text)), 0])
                 size += len(held[lang][-1])
             if size > HELD:
                 yield from counted()
@@ -310,19 +319,20 @@ def statistics(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
                 if text is None or not text.strip():
                     rows.append([doc, lang, digest] + [None] * (len(STATS) + len(SHARES)))
                     continue
-                words = _WORDS.findall(text.lower())
+                words = lower_words(text)
                 coded[lang].append((len(rows), codes.of(words)))
                 n, size = len(words), len(text)
                 letters = sum(map(len, words))
-                spaces = size - sum(map(len, text.split()))
-                digits = len(_DIGITS.findall(text))
+                tokens = text.split()
+                spaces = size - sum(map(len, tokens))
+                digits = sum(map(text.count, "0123456789")) if text.isascii() else len(_DIGITS.findall(text))
                 lines = [x for x in text.split("\n") if x.strip()]
                 known = common.get(lang, everyone)
                 table, items = structure(text)
                 rows.append([
                     doc, lang, digest, _short(n), _short(letters / n) if n else 0.0, round(max(0.0, 1 - (letters + spaces + digits) / size), 3), round(digits / size, 3),
                     round(sum(1 for x in lines if _ENDS.search(x.rstrip())) / len(lines), 3), round(sum(map(known.__contains__, words)) / n, 3) if n else 0.0,
-                    round(len(set(words)) / n, 3) if n else 0.0, _short(n / len(lines)), round(table, 3), round(items, 3), round(junk_share(text, words, digits), 3), 0.0,
+                    round(len(set(words)) / n, 3) if n else 0.0, _short(n / len(lines)), round(table, 3), round(items, 3), round(junk_share(text, tokens, words, digits), 3), 0.0,
                 ])
             for lang, texts in coded.items():
                 for (at, _), share in zip(texts, disorder([c for _, c in texts], *model.get(lang, nothing))):
