@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import STOP_ENTITIES
 
-# Tag prefixes per language; coordinating tags are compared whole.
-TAGS = {
-    "english": {"noun": ["NN"], "verb": ["VB"], "adjective": ["JJ"], "adverb": ["RB"], "coordinating": [",", "CC", "CD", "JJ"], "invalid_edge": ["VBD", "VBN", "VBZ", "VBP", "MD", "IN", "TO", "DT", "CC", ",", ".", ":", "WDT", "WP", "WRB"], "no_content": ["VBN"]},
-    "portuguese": {"noun": ["NOUN", "PROPN"], "verb": ["VERB"], "adjective": ["ADJ"], "adverb": ["ADV"], "coordinating": ["CONJ", "CCONJ", "PUNCT"], "invalid_edge": ["ADP", "DET", "CONJ", "CCONJ", "SCONJ", "PUNCT", "AUX"], "no_content": []},
-    "spanish": {"noun": ["NOUN", "PROPN"], "verb": ["VERB"], "adjective": ["ADJ"], "adverb": ["ADV"], "coordinating": ["CONJ", "CCONJ", "PUNCT"], "invalid_edge": ["ADP", "DET", "CONJ", "CCONJ", "SCONJ", "PUNCT", "AUX"], "no_content": []},
+# Tags per language. A set is matched by prefix unless it is listed in WHOLE.
+_ENGLISH = {
+    "noun": ["N"], "verb": ["V"], "adjective": ["J"], "coordinating": ["CC", ",", "-LRB-", "-RRB-"], "final": ["N", "V", "J", "DT", "-RS", "-RR"],
+    "content": ["N", "V", "J"], "no_content": ["VBN"], "vocabulary": ["N", "V", "J"], "invalid_edge": ["PRP", "IN", "TO", "DT", ","],
 }
+_PORTUGUESE = {
+    "noun": ["NOUN", "PROPN"], "verb": ["V"], "adjective": ["ADJ"], "coordinating": ["CCONJ", ",", "-LRB-", "-RRB-"], "final": ["N", "PROPN", "V", "ADJ", "ADV", "-RS", "-RR"],
+    "content": ["N", "PROPN", "V", "ADJ"], "no_content": [], "vocabulary": ["N", "PROPN", "V", "ADJ"], "invalid_edge": ["PRON", "DET", ","],
+}
+TAGS = {"english": _ENGLISH, "portuguese": _PORTUGUESE, "spanish": _PORTUGUESE}
+WHOLE = {"english": {"coordinating", "no_content"}, "portuguese": {"coordinating", "noun", "adjective"}, "spanish": {"coordinating", "noun", "adjective"}}
 
 
 def is_(kind: str, tag: Column, language: str = "english") -> Column:
-    """Whether a tag belongs to a set: by prefix, coordinating and edge tags by equality."""
+    """Whether a tag belongs to a set, by prefix or as a whole."""
     values = TAGS[language][kind]
-    if kind in ("coordinating", "invalid_edge"):
+    if kind in WHOLE[language]:
         return F.coalesce(tag.isin(*values), F.lit(False))
     test = F.lit(False)
     for v in values:
@@ -31,21 +36,19 @@ def is_(kind: str, tag: Column, language: str = "english") -> Column:
 
 
 def is_content(tag: Column, language: str = "english") -> Column:
-    """Nouns, verbs, adjectives and adverbs, without those that carry none (English participles)."""
-    some = is_("noun", tag, language) | is_("verb", tag, language) | is_("adjective", tag, language) | is_("adverb", tag, language)
-    none = TAGS[language]["no_content"]
-    return some & ~F.coalesce(tag.isin(*none), F.lit(False)) if none else some
+    """Nouns, verbs and adjectives, without English past participles."""
+    return is_("content", tag, language) & ~is_("no_content", tag, language) if TAGS[language]["no_content"] else is_("content", tag, language)
 
 
 def has_content(tokens: Column, stops: list[str], language: str = "english") -> Column:
-    """A noun somewhere, and a word of more than one letter with a content tag that is neither a stop word nor a stop entity."""
-    good = lambda t: (F.length(t["word"]) > 1) & is_content(t["tag"], language) & ~F.lower(t["lemma"]).isin(*stops) & ~F.coalesce(t["entity"].isin(*STOP_ENTITIES), F.lit(False))
+    """A noun somewhere, and a token with a lemma of more than one letter and a content tag that is neither a stop word nor a stop entity."""
+    good = lambda t: (F.length(t["lemma"]) > 1) & is_content(t["tag"], language) & ~t["lemma"].isin(*stops) & ~F.coalesce(t["entity"].isin(*STOP_ENTITIES), F.lit(False))
     return F.exists(tokens, lambda t: is_("noun", t["tag"], language)) & F.exists(tokens, good)
 
 
-def content_name(tokens: Column, stops: list[str], language: str = "english") -> Column:
-    """Words of content tokens joined by blanks; all words if there is none. Lemmas are tested, words come out."""
-    kept = F.filter(tokens, lambda t: is_content(t["tag"], language) & ~F.lower(t["lemma"]).isin(*stops) & ~F.coalesce(t["entity"].isin(*STOP_ENTITIES), F.lit(False)))
+def content_name(tokens: Column, stops: list[str], language: str = "english", excluded: list[str] | None = None) -> Column:
+    """Words of content tokens joined by blanks; all words if there is none. Lemmas are tested, words come out, without ``excluded`` ones."""
+    kept = F.filter(tokens, lambda t: is_("vocabulary", t["tag"], language) & ~t["lemma"].isin(*stops) & ~F.coalesce(t["entity"].isin(*STOP_ENTITIES), F.lit(False)) & ~t["word"].isin(*(excluded or [])))
     return F.array_join(F.transform(F.when(F.size(kept) == 0, tokens).otherwise(kept), lambda t: t["word"]), " ")
 
 
@@ -59,22 +62,28 @@ def trimmed(tokens: Column, start: Column, stop: Column, language: str = "englis
 def split_coordinated(tokens: Column, start: Column, stop: Column, language: str = "english") -> Column:
     """``array<struct<start, stop>>``: the parts of a span between coordinating tokens that do not follow an adjective.
 
-    ``maize , beans and rice`` gives three parts; a list of adjectives before one noun stays whole.
+    ``maize , beans and rice`` gives three parts; a list of adjectives before one noun stays whole. Of several
+    coordinating tokens at the end the last stays as a part, as does a span of one such token.
     """
-    cuts = F.filter(
-        F.sequence(start, F.greatest(stop - 1, start)),
-        lambda i: is_("coordinating", F.get(tokens, i)["tag"], language) & ~is_("adjective", F.get(tokens, i)["tag"], language) & ~F.coalesce(F.get(tokens, i)["tag"] == "CD", F.lit(False)) & ~((i > start) & is_("adjective", F.get(tokens, F.greatest(i - 1, F.lit(0)))["tag"], language)),
-    )
+    splits = lambda i: is_("coordinating", F.get(tokens, i)["tag"], language) & ~((i > 0) & is_("adjective", F.get(tokens, F.greatest(i - 1, F.lit(0)))["tag"], language))
+    cuts = F.filter(F.sequence(start, F.greatest(stop - 1, start)), splits)
     edges = F.zip_with(F.concat(F.array(start), F.transform(cuts, lambda i: i + 1)), F.concat(cuts, F.array(stop)), lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
-    return F.filter(edges, lambda e: e["stop"] > e["start"])
+    last = stop - 1
+    alone = (stop > start) & splits(last) & ((stop - start == 1) | splits(F.greatest(last - 1, F.lit(0))))
+    parts = F.filter(edges, lambda e: e["stop"] > e["start"])
+    return F.when(alone, F.concat(parts, F.array(F.struct(last.alias("start"), stop.alias("stop"))))).otherwise(parts)
+
+
+def valid_final(tokens: Column, language: str = "english") -> Column:
+    """Whether the last token may end an entity; a span without tokens may."""
+    return (F.size(tokens) == 0) | is_("final", F.get(tokens, F.size(tokens) - 1)["tag"], language)
 
 
 def valid_entity(tokens: Column, language: str = "english", longest: int = 50) -> Column:
     """A span that may be an entity: not too long, ends well, and holds a noun or verb outside stop entities, or starts with a determiner."""
-    last = F.get(tokens, F.size(tokens) - 1)
     core = F.exists(tokens, lambda t: (is_("noun", t["tag"], language) | is_("verb", t["tag"], language)) & ~F.coalesce(t["entity"].isin(*STOP_ENTITIES), F.lit(False)))
     determined = F.lower(F.get(tokens, F.lit(0))["word"]).isin("this", "that", "these", "those")
-    return (F.size(tokens) > 0) & (F.size(tokens) <= longest) & (core | determined) & (is_("noun", last["tag"], language) | is_("verb", last["tag"], language) | is_("adjective", last["tag"], language) | determined)
+    return (F.size(tokens) > 0) & (F.size(tokens) <= longest) & (core | determined) & valid_final(tokens, language)
 
 
 def misparsed_trigger(words: Column, tags: Column) -> Column:

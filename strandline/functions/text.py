@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE_BREAK = r"[.!?]+\s+"
-#: Entity labels that make a token no content.
-STOP_ENTITIES = ["DATE", "DURATION", "LOCATION", "MISC", "MONEY", "NUMBER", "ORDINAL", "ORGANIZATION", "PERCENT", "PERSON", "PLACE", "SET", "TIME", "URL", "EMAIL"]
+# Entity labels that make a token no content.
+STOP_ENTITIES = ["COUNTRY", "DATE", "DURATION", "LOCATION", "MONEY", "NATIONALITY", "NUMBER", "ORDINAL", "ORGANIZATION", "PERSON", "PLACE", "SET", "STATE_OR_PROVINCE", "TIME", "TITLE"]
 
 
 def sentences(text: Column) -> Column:

@@ -92,8 +92,8 @@ def date_expressions(df: DataFrame, column: str, anchor: str) -> DataFrame:
     year, month = F.concat(v, F.lit("-01-01")).try_cast("date"), F.concat(v, F.lit("-01")).try_cast("date")
     is_ = lambda p: v.rlike(p)
     begins = (
-        F.when(is_(r"^\d{4}$"), year).when(is_(r"^\d{4}-\d\d$"), month).when(is_(r"^\d{4}-\d\d-\d\d$"), v.try_cast("date"))
+        F.when(is_(r"^(?!0000)\d{4}$"), year).when(is_(r"^\d{4}-\d\d$"), month).when(is_(r"^\d{4}-\d\d-\d\d$"), v.try_cast("date"))
         .when(is_(r"^P\d+Y$"), F.add_months(day, -12 * n)).when(is_(r"^P\d+M$"), F.add_months(day, -n)).when(is_(r"^P\d+W$"), F.date_sub(day, 7 * n)).when(is_(r"^P\d+D$"), F.date_sub(day, n))
     )
-    ends = F.when(is_(r"^\d{4}$"), F.add_months(year, 12)).when(is_(r"^\d{4}-\d\d$"), F.add_months(month, 1)).when(is_(r"^\d{4}-\d\d-\d\d$"), F.date_add(v.try_cast("date"), 1)).when(is_(r"^P\d+[YMWD]$"), day)
+    ends = F.when(is_(r"^(?!0000)\d{4}$"), F.add_months(year, 12)).when(is_(r"^\d{4}-\d\d$"), F.add_months(month, 1)).when(is_(r"^\d{4}-\d\d-\d\d$"), F.date_add(v.try_cast("date"), 1)).when(is_(r"^P\d+[YMWD]$"), day)
     return df.withColumn("begins", begins).withColumn("ends", ends)

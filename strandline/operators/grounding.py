@@ -69,7 +69,7 @@ def top_k(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", vector:
                     lowered = np.maximum(-1.0, scores[:, against] - 0.2)
                     scores[:, against] = np.where(close, lowered, scores[:, against])
                 scores = np.round(scores, round_to)
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # names are sorted, so ties come in their order
+                order = _best_columns(scores, k)
                 for row, best in enumerate(order):
                     rank = 0
                     for j in best:
@@ -82,6 +82,18 @@ def top_k(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", vector:
     return rows.select(F.col(id_col).alias("id"), F.col(vector)).mapInArrow(run, f"id {kind}, node string, score double, rank int")
 
 
+def _best_columns(scores: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` best columns of each row, best first, ties in order; only the columns that can be among them are sorted."""
+    if k * 4 >= scores.shape[1]:
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(scores), k), dtype=np.int64)
+    for row, least in enumerate(edge):
+        some = np.flatnonzero(scores[row] >= least)
+        out[row] = some[np.argsort(-scores[row, some], kind="stable")[:k]]
+    return out
+
+
 def search(rows: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector: str = "vec", least: float | None = None, own: Column | None = None, block: int = BLOCK) -> DataFrame:
     """``id, node, score, rank`` as :func:`top_k` for a corpus of any size: its blocks are ranked one by one, the best of all merged.
 
@@ -186,18 +198,52 @@ def _best_examples(a: str, flat: list, letters: dict, sizes, bags, k: int) -> li
     return [(n, -s) for s, n in heapq.nsmallest(k, [(-s, n) for n, s in best.items()])]
 
 
-def sieve(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", text: str = "name", least: float = 0.0) -> DataFrame:
-    """``id, node, score, stage, rank``: exact names, else patterns, else examples; a later stage only where the earlier found none."""
+def sieve(rows: DataFrame, nodes: DataFrame, k: int, id_col: str = "id", text: str = "name", least: float = 0.0, vector: str | None = None, weight: float = 0.75) -> DataFrame:
+    """``id, node, score, stage, rank``: exact names, else patterns, else similarity; a later stage only where the earlier found none.
+
+    The last stage is the weighted mean of vector and example similarity where ``rows`` have a ``vector`` column (and
+    ``nodes`` a ``node_vec``), else example similarity alone.
+    """
     first = exact(rows, nodes, id_col, text)
     left = rows.join(first.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
     second = by_pattern(left, nodes, id_col, text)
     left = left.join(second.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
-    third = by_examples(left, nodes, k, id_col, text)
+    third = by_examples(left, nodes, k, id_col, text) if vector is None else blended(left, nodes, k, id_col, text, vector, weight)
     every = first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2))).unionByName(third.withColumn("stage", F.lit(3)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "node"))
     return every.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def blended(rows: DataFrame, nodes: DataFrame, k: int, id_col: str, text: str, vector: str, weight: float = 0.75) -> DataFrame:
+    """``id, node, score``: the ``k`` nodes with the best weighted mean of vector similarity and that of their best example.
+
+    Both similarities of a row with all nodes exist in the task only; a missing vector, text or example counts as 0.
+    """
+    shared = _vocabulary(nodes, "node", "node_vec", "examples")
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        table = shared.value
+        names = [t[0] for t in table]
+        width = max((len(t[1]) for t in table if t[1] is not None), default=0)
+        matrix = np.array([t[1] if t[1] is not None else [0.0] * width for t in table], dtype=np.float64).reshape(len(table), width)
+        examples = [[e.lower() for e in t[2] or []] for t in table]
+        for batch in batches:
+            out: list[tuple] = []
+            for i, (name, vec) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                score = weight * (matrix @ np.array(vec, dtype=np.float64)) if vec is not None else np.zeros(len(names))
+                if name is not None:
+                    a = name.lower()
+                    to = _Distance(a).to
+                    score = score + (1 - weight) * np.array([max((1 - to(e) / max(len(a), len(e), 1) for e in es), default=0.0) for es in examples])
+                score = np.round(score, 6)
+                out += [(i, names[j], float(score[j])) for j in np.argsort(-score, kind="stable")[:k]]
+            ids = batch.column(0).take(pa.array([o[0] for o in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], names=["id", "node", "score"])
+
+    return rows.select(F.col(id_col).alias("id"), F.col(text), F.col(vector)).mapInArrow(run, f"id {kind}, node string, score double")
+
+
 def blend(vectors: DataFrame, examples: DataFrame, weight: float = 0.75) -> DataFrame:
     """``id, node, score``: weighted mean of vector and example similarity; a missing one counts as 0."""
     both = vectors.withColumnRenamed("score", "v").join(examples.withColumnRenamed("score", "e"), ["id", "node"], "full_outer")
@@ -205,10 +251,10 @@ def blend(vectors: DataFrame, examples: DataFrame, weight: float = 0.75) -> Data
 
 
 def map_nodes(left: DataFrame, right: DataFrame, k: int, weights: tuple[float, float] = (0.8, 0.1), block: int = BLOCK) -> DataFrame:
-    """``id, node, score``: the ``k`` nodes of another vocabulary for each node (``node, vec, parents array<vec>``).
+    """``id, node, score``: the ``k`` nodes of another vocabulary for each node (``node, vec, parents array<vec>``); all of them for ``k = 0``.
 
-    Own similarity plus that of the parents, from the nearest on, the i-th counted ``1 / (i + 1)``. Ties by node. The
-    weighted sum is one product of the vectors laid end to end, so both sides may be of any size (:func:`search`).
+    ``parents`` are the vectors of the names on the node's path, its own name first. Own similarity is counted
+    ``weights[0]``, that of the i-th names on both paths ``weights[1] / (i + 1)``, from 0 on. Ties by node. The weighted sum is one product of the vectors laid end to end, so both sides may be of any size (:func:`search`).
     """
     depth = min(df.agg(F.max(F.size("parents"))).first()[0] or 0 for df in (left, right))
 
@@ -217,5 +263,5 @@ def map_nodes(left: DataFrame, right: DataFrame, k: int, weights: tuple[float, f
         return df.select("node", F.concat(F.transform("vec", lambda x: x * F.lit(own)), *parents).alias("node_vec"))
 
     ones = [1.0] * max(0, depth)
-    weighted = laid(left, weights[0], [weights[1] / (i + 2) for i in range(len(ones))])
-    return search(weighted, laid(right, 1.0, ones), k, "node", "node_vec", block=block).select("id", "node", "score")
+    weighted = laid(left, weights[0], [weights[1] / (i + 1) for i in range(len(ones))])
+    return search(weighted, laid(right, 1.0, ones), k or 2**31 - 2, "node", "node_vec", block=block).select("id", "node", "score")

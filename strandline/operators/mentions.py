@@ -18,16 +18,17 @@ def numbered_tokens(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame
     return df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
 
 
-def gazetteer(df: DataFrame, keys: list[str], tokens: Column, lexicon: DataFrame, longest: int = 4) -> DataFrame:
-    """``keys, label, start, stop, phrase``: longest leftmost occurrences of the phrases of ``lexicon(phrase, label)``.
+def gazetteer(df: DataFrame, keys: list[str], tokens: Column, lexicon: DataFrame) -> DataFrame:
+    """``keys, label, start, stop, phrase``: longest leftmost occurrences of the phrases of ``lexicon(phrase, label)``, of any length.
 
-    All phrases of up to ``longest`` tokens are looked up with one equality join; of overlapping ones with the same
-    start the longest stays, and one that starts inside a longer one to its left is left out.
+    A phrase is looked up where its first word stands: one equality join on that word, then the words behind it are
+    compared. Of overlapping ones with the same start the longest stays, and one that starts inside a longer one to its
+    left is left out.
     """
-    size = F.size(tokens)
-    grams = df.select(*keys, tokens.alias("__t")).select(*keys, "__t", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("__n")).where(F.size("__t") >= F.col("__n"))
-    grams = grams.select(*keys, "__n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("__t") - F.col("__n") + 1), lambda i: F.array_join(F.slice(F.col("__t"), i, F.col("__n")), " "))).alias("start", "phrase"))
-    hits = grams.join(broadcast_if_small(lexicon.select(F.lower("phrase").alias("phrase"), "label").distinct()), "phrase").withColumn("stop", F.col("start") + F.col("__n"))
+    lex = lexicon.select(F.lower("phrase").alias("phrase"), "label").where("phrase <> ''").distinct()
+    lex = lex.select("phrase", "label", F.split("phrase", " ").alias("__w")).select("phrase", "label", F.get("__w", F.lit(0)).alias("__first"), F.size("__w").alias("__n"))
+    starts = df.select(*keys, tokens.alias("__t")).select(*keys, "__t", F.posexplode("__t").alias("start", "__first"))
+    hits = starts.join(broadcast_if_small(lex), "__first").where(F.array_join(F.slice("__t", F.col("start") + 1, F.col("__n")), " ") == F.col("phrase")).withColumn("stop", F.col("start") + F.col("__n")).drop("__t", "__first")
     row = Window.partitionBy(*keys, "label")
     first = hits.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "label", "start").orderBy(F.desc("__n"), "phrase"))).where("__r = 1")
     reach = F.max("stop").over(row.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))

@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import broadcast_if_small, cut, written
+
 #: Buckets of a value sketch: the smallest hash of a word in each.
 BUCKETS = 32
 #: Similarity from which a field that goes and one that comes carry the same information.
 MIN_SIMILARITY = 0.4
-#: Distinct renames (pairs of names, not files) up to which canonical names are computed on the driver.
-MAX_NAME_PAIRS = 100_000
+#: Names used by several feeds up to which their profiles are sent to all workers (about 1 KB each).
+MAX_NAMES = 100_000
 
 TYPES = ("string", "number", "boolean", "array", "object")
 _WORD = re.compile(r"\w+")
@@ -203,10 +205,19 @@ def changes(raw: DataFrame) -> DataFrame:
     an empty table gives an empty one; extra columns are not read. Field lists are collected per file (bounded
     by the width of its schema), never values.
     """
-    fields = profiles(raw).groupBy("file_no").agg(F.collect_list(F.struct("key", "type", "lo", "hi", "sketch")).alias("fields"))
+    return _changes(raw, profiles(raw))
+
+
+def _steps(raw: DataFrame) -> DataFrame:
+    """``file_no, feed, before_no``: every file with the one before it in its feed, null for the first."""
     files = raw.where(F.col("file_no").isNotNull()).groupBy(F.col("file_no").cast("long").alias("file_no")).agg(F.min("feed").alias("feed"), F.min("file_seq").alias("file_seq"))
     order = Window.partitionBy("feed").orderBy("file_seq", "file_no")
-    steps = files.select("file_no", F.lag("file_no").over(order).alias("before_no")).where(F.col("before_no").isNotNull())
+    return files.select("file_no", "feed", F.lag("file_no").over(order).alias("before_no"))
+
+
+def _changes(raw: DataFrame, profiled: DataFrame) -> DataFrame:
+    fields = profiled.groupBy("file_no").agg(F.collect_list(F.struct("key", "type", "lo", "hi", "sketch")).alias("fields"))
+    steps = _steps(raw).where(F.col("before_no").isNotNull())
     both = steps.join(fields.withColumnRenamed("fields", "after"), "file_no", "left").join(fields.select(F.col("file_no").alias("before_no"), F.col("fields").alias("before")), "before_no", "left").select("file_no", "before", "after")
 
     def run(batches):
@@ -221,46 +232,97 @@ def changes(raw: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "file_no long, change_kind string, key_before string, key_after string")
 
 
-def canonical_names(raw: DataFrame) -> dict[str, str]:
-    """Field name -> canonical name: names joined by renames share the most used of them (ties: the first in order)."""
-    renames = changes(raw).where("change_kind = 'renamed'").groupBy("key_before", "key_after").count()
-    edges = renames.limit(MAX_NAME_PAIRS + 1).collect()
-    if len(edges) > MAX_NAME_PAIRS:
-        raise ValueError(f"more than {MAX_NAME_PAIRS} distinct renames")
-    counts = profiles(raw).groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()
-    if len(counts) > MAX_NAME_PAIRS:
-        raise ValueError(f"more than {MAX_NAME_PAIRS} distinct field names")
-    used = {r.key: r.n for r in counts}
-    parent = {k: k for k in used}
-
-    def root(k):
-        while parent.setdefault(k, k) != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for e in edges:
-        parent[root(e.key_before)] = root(e.key_after)
-    groups: dict[str, list[str]] = {}
-    for k in parent:
-        groups.setdefault(root(k), []).append(k)
-    return {k: min(g, key=lambda x: (-used.get(x, 0), x)) for g in groups.values() for k in g}
+def _lineages(raw: DataFrame, profiled: DataFrame) -> DataFrame:
+    """``file_no, key, feed, root``: every field of every file with the first field of its line in the feed.
+
+    A field continues the one of the same name, or the one it was renamed from, in the file before. The first of each
+    line is found by pointer doubling, so a feed of any number of files takes a logarithmic number of joins.
+    """
+    steps = _steps(raw)
+    fields = profiled.select("file_no", "key").join(steps, "file_no")
+    renames = _changes(raw, profiled).where("change_kind = 'renamed'").select("file_no", F.col("key_after").alias("key"), F.col("key_before").alias("old"))
+    earlier = profiled.select(F.col("file_no").alias("before_no"), F.col("key").alias("same"))
+    linked = fields.join(renames, ["file_no", "key"], "left").join(earlier, (fields["before_no"] == earlier["before_no"]) & (fields["key"] == earlier["same"]), "left").select("file_no", "key", "feed", fields["before_no"], F.coalesce("old", "same").alias("old"))
+    node = lambda no, key: F.struct(F.col(no).alias("file_no"), F.col(key).alias("key"))
+    up = cut(linked.select("feed", node("file_no", "key").alias("at"), F.when(F.col("old").isNotNull(), node("before_no", "old")).otherwise(node("file_no", "key")).alias("root")))
+    while True:
+        step = up.select(F.col("at").alias("root"), F.col("root").alias("further"))
+        farther = cut(up.join(step, "root").select("feed", "at", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
+        up = farther.drop("moved")
+        if farther.where("moved").isEmpty():
+            return up.select("at.file_no", "at.key", "feed", "root")
+
+
+def _same_name(key: str) -> str:
+    return "".join(name_parts(key))
+
+
+def fields_of(raw: DataFrame) -> DataFrame:
+    """``file_no, key, field``: the canonical name of every field of every file.
+
+    Names are resolved within a feed, along the line of a field from file to file, so one name that two feeds give to
+    different fields joins nothing. A line is called by its first name, namespaces and case aside. A line whose first
+    name is used by no other feed is matched with the names that several feeds use and this feed does not, by a
+    bipartite assignment on the merged profiles; what finds no match keeps its own name.
+    """
+    profiled = written(profiles(raw), "profiles")
+    lines = written(_lineages(raw, profiled), "lineages")
+    buckets = [F.min(F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(BUCKETS)]
+    merged = lines.join(profiled, ["file_no", "key"]).groupBy("feed", "root").agg(F.sum("n").alias("n"), F.mode("type", True).alias("type"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *buckets)
+    merged = written(merged.select("feed", "root", F.col("root.key").alias("first"), "n", "type", "lo", "hi", F.array(*[F.col(f"s{i}") for i in range(BUCKETS)]).alias("sketch")), "lines")
+
+    named = _name_column(merged)
+    feeds = named.groupBy("name").agg(F.count_distinct("feed").alias("feeds"), F.sum("n").alias("n"), F.mode("type", True).alias("type"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *buckets, F.min_by("first", F.struct(-F.col("n"), F.col("first"))).alias("key"))
+    shared_names = feeds.where("feeds > 1").select("name", "key", "type", "lo", "hi", F.array(*[F.col(f"s{i}") for i in range(BUCKETS)]).alias("sketch"))
+    if shared_names.count() > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} field names are used by several feeds")
+    common = raw.sparkSession.sparkContext.broadcast({r.name: r.asDict() for r in shared_names.collect()})
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for feed, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = {x["name"] for x in group}
+                odd = [x for x in group if x["name"] not in common.value]
+                free = [c for name, c in sorted(common.value.items()) if name not in own]
+                weights = [[w if (w := similarity({**x, "key": x["first"]}, c)) >= MIN_SIMILARITY else 0.0 for c in free] for x in odd]
+                found = {i: free[j]["key"] for i, j in assignment(weights) if weights[i][j] > 0}
+                rows += [(feed, x["root"]["file_no"], x["root"]["key"], common.value[x["name"]]["key"]) for x in group if x["name"] in common.value]
+                rows += [(feed, x["root"]["file_no"], x["root"]["key"], found.get(i, x["first"])) for i, x in enumerate(odd)]
+            import pyarrow as pa
+
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["feed", "file_no", "key", "field"])
+
+    # the lines of a feed are as many as it ever had fields
+    gathered = named.groupBy("feed").agg(F.sort_array(F.collect_list(F.struct("root", "name", "first", "type", "lo", "hi", "sketch"))).alias("lines"))
+    resolved = gathered.mapInArrow(run, "feed string, file_no long, key string, field string").select("feed", F.struct("file_no", "key").alias("root"), "field")
+    return lines.join(resolved, [lines["feed"].eqNullSafe(resolved["feed"]), lines["root"] == resolved["root"]]).select("file_no", lines["key"], "field")
+
+
+def _name_column(merged: DataFrame) -> DataFrame:
+    names = F.pandas_udf(lambda s: s.map(_same_name), "string")
+    return merged.withColumn("name", names("first"))
 
 
 def unify(raw: DataFrame) -> DataFrame:
-    """``raw_no, file_no, field, value``: all records as one long table under canonical field names, values as text.
+    """``raw_no, file_no, field, type, value``: all records as one long table under canonical field names.
 
-    Two fields of a record with one canonical name give two rows only if their texts differ. Unreadable records
-    have no rows.
+    ``type`` is the JSON type that most values of the field have, whatever the value's own; ``value`` is its text, so a
+    number written as text and a list of one are the same as the plain value. Two fields of a record with one canonical
+    name give two rows only if their texts differ. Unreadable records have no rows; files are told apart by ``file_no``.
     """
-    names = raw.sparkSession.sparkContext.broadcast(canonical_names(raw))
+    names = fields_of(raw)
 
     def run(batches):
         for batch in batches:
             rows = []
             for raw_no, file_no, payload in zip(batch.raw_no, batch.file_no, batch.payload):
-                seen = {(names.value.get(k, k), value_text(v)) for k, v in (metadata_of(payload) or {}).items() if v is not None}
-                rows += [(raw_no, file_no, f, v) for f, v in sorted(seen)]
-            yield pd.DataFrame(rows, columns=["raw_no", "file_no", "field", "value"]).astype({"raw_no": "int64", "file_no": "int64"})
-
-    return raw.select(F.col("raw_no").cast("long"), F.col("file_no").cast("long"), "payload").mapInPandas(run, "raw_no long, file_no long, field string, value string")
+                rows += [(raw_no, file_no, k, json_type(v), value_text(v)) for k, v in (metadata_of(payload) or {}).items() if v is not None]
+            yield pd.DataFrame(rows, columns=["raw_no", "file_no", "key", "own", "value"]).astype({"raw_no": "int64", "file_no": "int64"})
+
+    some = raw.where(F.col("raw_no").isNotNull() & F.col("file_no").isNotNull())
+    cells = some.select(F.col("raw_no").cast("long"), F.col("file_no").cast("long"), "payload").mapInPandas(run, "raw_no long, file_no long, key string, own string, value string")
+    cells = written(cells.join(broadcast_if_small(names), ["file_no", "key"]), "cells")
+    types = cells.groupBy("field", "own").agg(F.count("*").alias("n")).groupBy("field").agg(F.max_by("own", F.struct("n", "own")).alias("type"))
+    return cells.join(broadcast_if_small(types), "field").select("raw_no", "file_no", "field", "type", "value").distinct()

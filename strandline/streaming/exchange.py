@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.messages import normal_id
-from strandline.session import scratch_path, ship, table
+from strandline.session import scratch_path, scratched, ship, table
 
 
 class ReadOnceGroundMany:
@@ -69,3 +69,22 @@ def read_once_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Event-time windows with a watermark: rows later than ``late`` behind the newest are left out of their closed window."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
+    """``start, event_type, n, total``: the windows of all ``events``, read as a file stream to its end; late rows count in their window.
+
+    The state is the windows so far; each micro-batch replaces the written result, so a retried one changes nothing.
+    """
+    import os
+
+    ship(spark)
+    source, only = (f"{sf_dir}/events.parquet", "*") if not os.path.isfile(f"{sf_dir}/events.parquet") else (sf_dir, "events.parquet")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    path = scratch_path(spark, "windows")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", only).parquet(source)
+    counted = events.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("window.start", "event_type", "n", "total")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out")
+    counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    scratched(spark, path)
+    return spark.read.parquet(f"{path}/out")

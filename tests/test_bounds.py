@@ -12,9 +12,19 @@ def test_reachable_has_no_depth(spark):
     assert sorted(map(tuple, got.collect())) == [(0, i) for i in range(13)]
 
 
-def test_too_many_field_names_are_refused(spark, small, monkeypatch):
-    raw = spark.read.parquet(f"{small}/meta_files.parquet")
-    renames = schema_drift.changes(raw).where("change_kind = 'renamed'").select("key_before", "key_after").distinct().count()
-    monkeypatch.setattr(schema_drift, "MAX_NAME_PAIRS", renames)
+def test_a_phrase_of_any_length_is_found(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(30)]
+    df = spark.createDataFrame([(1, ["x", *words, "y"])], "id int, w array<string>")
+    lexicon = spark.createDataFrame([(" ".join(words), "Long"), (" ".join(words[:2]), "Long"), ("y", "Short")], "phrase string, label string")
+    got = {(r.label, r.start, r.stop) for r in M.gazetteer(df, ["id"], F.col("w"), lexicon).collect()}
+    assert got == {("Long", 1, 31), ("Short", 31, 32)}
+
+
+def test_too_many_shared_names_are_refused(spark, monkeypatch):
+    rows = [(1, 1, 1, "f", '{"extracted_metadata": {"a": "x"}}'), (2, 2, 1, "g", '{"extracted_metadata": {"a": "x"}}')]
+    raw = spark.createDataFrame(rows, "raw_no long, file_no long, file_seq int, feed string, payload string")
+    monkeypatch.setattr(schema_drift, "MAX_NAMES", 0)
     with pytest.raises(ValueError, match="field names"):
-        schema_drift.canonical_names(raw)
+        schema_drift.fields_of(raw)

@@ -27,15 +27,15 @@ def test_english_queries_take_irregular_tags(spark, folder):
     run = lambda name: QUERIES[name](spark, folder).collect()
     assert {r.doc_id for r in run("causal_edges")} == {1, 2, 3}
     assert {r.n_docs for r in run("causal_graph")} == {3}
-    assert {r.doc_id for r in run("gazetteer_longest_match_all")} == {1, 2, 3, 4}
-    assert {r.doc_id: r.negated for r in run("negation_parity_all")} == {1: 1, 2: 1, 3: 1, 4: 0}
-    assert [(r.hint, r.n, r.n_docs) for r in run("hedging_scan_all")] == [("could", 3, 3)]
-    assert [(r.text, r.n) for r in run("rule_mentions_all")] == [("because of", 3)]
+    assert {r.doc_id for r in run("gazetteer_longest_match")} == {1, 2, 3, 4}
+    assert {r.doc_id: r.negated for r in run("negation_parity")} == {1: 1, 2: 1, 3: 1, 4: 0}
+    assert [(r.hint, r.n, r.n_docs) for r in run("hedging_scan")] == [("could", 3, 3)]
+    assert [(r.text, r.n) for r in run("rule_mentions")] == [("because of", 3)]
 
 
 def test_counts_cover_all_languages(spark, folder):
     run = lambda name: QUERIES[name](spark, folder).collect()
-    n = {(r.lang, r.word): r.n for r in run("token_counts_by_lang_all")}
+    n = {(r.lang, r.word): r.n for r in run("token_counts_by_lang")}
     assert (n["en", "drought"], n["und", "der"], n["fr", "conseil"], n["fr", "heat"]) == (3, 2, 1, 1)
-    assert {(r.lang, r.kind): r.n for r in run("trigger_regex_classify_all")}["en", "cause"] == 6
-    assert {(r.lang, r.a, r.b): r.n for r in run("token_pattern_bigram_all")} == {("en", "because", "of"): 3, ("und", "failure", "of"): 1, ("und", "known", "to"): 1, ("fr", "heat", "of"): 1, ("fr", "conseil", "to"): 1}
+    assert {(r.lang, r.kind): r.n for r in run("trigger_regex_classify")}["en", "cause"] == 6
+    assert {(r.lang, r.a, r.b): r.n for r in run("token_pattern_bigram")} == {("en", "because", "of"): 3, ("und", "failure", "of"): 1, ("und", "known", "to"): 1, ("fr", "heat", "of"): 1, ("fr", "conseil", "to"): 1}

@@ -2,7 +2,7 @@ import itertools
 import json
 import random
 
-from strandline.operators.schema_drift import assignment, canonical_names, changes, name_similarity, unify
+from strandline.operators.schema_drift import assignment, changes, fields_of, name_similarity, unify
 
 SCHEMA = "raw_no long, file_no long, file_seq int, feed string, payload string"
 
@@ -29,8 +29,8 @@ def test_changes(spark):
         (2, "renamed", "Author", "writtenBy"), (2, "retyped", "writtenBy", "writtenBy"), (2, "renamed", "Pages", "pageCount"), (2, "removed", "Tagged", ""), (2, "added", "", "Encrypted"),
         (3, "removed", "Encrypted", ""), (3, "retyped", "pageCount", "pageCount"), (3, "retyped", "Subject", "Subject"),
     }
-    names = canonical_names(df)
-    assert names["Author"] == names["writtenBy"] and names["Pages"] == names["pageCount"] != names["Author"]
+    names = {(r.file_no, r.key): r.field for r in fields_of(df).collect()}
+    assert names[1, "Author"] == names[3, "writtenBy"] == "Author" and names[3, "pageCount"] == "Pages"
     fields = {r.field for r in unify(df).collect()}
     assert len(fields) == 5
     assert changes(df.limit(0)).count() == 0
@@ -54,3 +54,22 @@ def test_assignment_is_optimal():
 
 def test_names():
     assert name_similarity("dc:creator", "Creator") == 1.0 and name_similarity("Tagged", "Encrypted") < 0.7
+
+
+def test_one_name_for_different_fields_of_two_feeds_joins_nothing(spark):
+    people, titles = [f"Ann{i} Lee{i}" for i in range(6)], [f"Report on trade {i} in spring" for i in range(6)]
+    a = [(1, [meta(Title=t, Author=p) for t, p in zip(titles, people)]), (2, [meta(Name=t, Author=p) for t, p in zip(titles, people)])]
+    b = [(11, [meta(Title=t, Author=p) for t, p in zip(titles, people)]), (12, [meta(Title=t, Name=p) for t, p in zip(titles, people)])]
+    c = [(21, [meta(heading=t, writer=p, pages=3) for t, p in zip(titles, people)])]
+    df = spark.createDataFrame(rows(*a, feed="a") + rows(*b, feed="b") + rows(*c, feed="c"), SCHEMA)
+    names = {(r.file_no, r.key): r.field for r in fields_of(df).collect()}
+    assert names[2, "Name"] == "Title" and names[12, "Name"] == "Author"
+    assert names[21, "heading"] == "Title" and names[21, "writer"] == "Author" and names[21, "pages"] == "pages"
+    table = {(r.raw_no, r.field): (r.type, r.value) for r in unify(df).collect()}
+    assert len(table) == 4 * 12 + 18 and table[21002, "pages"] == ("number", "3")
+
+
+def test_types_are_unified(spark):
+    df = spark.createDataFrame(rows((1, [meta(Pages=i) for i in range(5)]), (2, [meta(Pages=str(i)) for i in range(3)])), SCHEMA)
+    assert {(r.type, r.value) for r in unify(df).collect()} == {("number", str(i)) for i in range(5)}
+    assert unify(df.limit(0)).count() == 0
