@@ -175,3 +175,63 @@ def english(docs: DataFrame) -> DataFrame:
     w = words(F.col("text"))
     share = F.size(F.filter(w, lambda x: x.isin(*ENGLISH))) / F.greatest(F.size(w), F.lit(1))
     return docs.where((primary_tag(F.col("lang")) == "en") | (primary_tag(F.col("lang")) == "und") & (share >= ENGLISH_SHARE))
+
+
+class _Ascii(dict):
+    """Code point -> ASCII text: Greek letters by their names, accented letters without accents, other characters a blank."""
+
+    def __init__(self, keep_accents: bool):
+        self.keep = keep_accents
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        name = unicodedata.name(c, "")
+        if code < 0x80:
+            out = c
+        elif name.startswith("GREEK ") and " LETTER " in name:
+            out = name.split(" LETTER ")[1].split(" WITH ")[0].lower().replace("final ", "").replace(" ", "")
+        else:
+            plain = unicodedata.normalize("NFKD", c)
+            base = "".join(x for x in plain if ord(x) < 0x80)
+            accented = c.isalpha() and base != "" and all(ord(x) < 0x80 or unicodedata.combining(x) for x in plain)
+            out = c if accented and self.keep else base if base.strip() else " "
+        self[code] = out
+        return out
+
+
+def sanitized(text: Column, keep_accents: bool = False) -> Column:
+    """ASCII form of a text: Greek letters spelt out, accents removed unless kept, anything unknown a blank. Null stays null."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        table = _Ascii(keep_accents)
+        return s.map(lambda x: x if x.isascii() else x.translate(table), na_action="ignore")
+
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(run(text))
+
+
+def document_text(text: Column, sentence_ends: Column) -> Column:
+    """The text on one line but for a line break behind each sentence.
+
+    Line breaks and form feeds become blanks; at each of ``sentence_ends`` (offsets behind the sentences) before the end
+    of the text a blank becomes a line break. Other characters stand inside a word and stay.
+    """
+    flat = F.translate(text, "\n\f", "  ")
+    at = lambda i: F.substr(flat, i + 1, F.lit(1))
+    ends = F.filter(F.array_sort(F.array_distinct(sentence_ends)), lambda e: (e < F.length(flat)) & (at(e) == " "))
+    pieces = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1)), F.concat(ends, F.array(F.length(flat))), lambda a, b: F.substr(flat, a + 1, b - a))
+    return F.array_join(pieces, "\n")
+
+
+def extract_number(tokens: Column, start: Column, stop: Column) -> Column:
+    """``struct<start, stop, value>`` of the first run of NUMBER or PERCENT tokens of a span; null where there is none or it cannot be read.
+
+    The norm of the run's first token is read, or the word itself where the run is one token.
+    """
+    numeric = lambda i: F.coalesce(F.get(tokens, i)["entity"].isin("NUMBER", "PERCENT"), F.lit(False))
+    inside = F.filter(F.sequence(start, F.greatest(stop - 1, start)), lambda i: (i < stop) & numeric(i))
+    first = F.get(inside, F.lit(0))
+    gap = F.get(F.filter(F.sequence(first, F.greatest(stop, first)), lambda i: (i >= stop) | ~numeric(i)), F.lit(0))
+    norm, word = to_number(F.get(tokens, first)["norm"]), to_number(F.get(tokens, first)["word"])
+    value = F.coalesce(norm, F.when(gap == first + 1, word))
+    return F.when(first.isNotNull() & value.isNotNull(), F.struct(first.alias("start"), gap.alias("stop"), value.alias("value")))

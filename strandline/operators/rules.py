@@ -27,6 +27,8 @@ import pandas as pd
 import yaml
 from pyspark.sql import DataFrame
 
+#: Rounds behind the last priority after which rules that feed on their own mentions are taken to have no end.
+MAX_ROUNDS = 1000
 TOKEN_FIELDS = ("word", "raw", "lemma", "tag", "chunk", "entity", "norm")
 MENTIONS = "sent_key string, mention_no int, label string, labels array<string>, start int, stop int, trigger_start int, trigger_stop int, text string, args array<struct<role:string,mention_no:int>>, found_by string"
 _LEX = re.compile(r"\s*(\(\?<[A-Za-z_]\w*>|\(\?<=|\(\?<!|\(\?=|\(\?!|\{\d*,?\d*\}|/(?:\\.|[^/\\])+/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|@[\w-]+(?::[\w-]+)?|[\[\]()|&!=?*+<>]|[^\s\[\]()|&!=?*+<>@{}/\"']+)")
@@ -461,8 +463,10 @@ def apply_rules(s: Sentence, rules: list[Rule], taxonomy=None) -> list[dict]:
                 labels = [x for label in r.labels for x in lineage.setdefault(label, ancestors(taxonomy, label))]
                 for m in r.find(s):
                     _add(s, m | {"labels": list(dict.fromkeys(labels))}, r.name)
-        if priority >= last and len(s.mentions) == before or priority > last + 20:
+        if priority >= last and len(s.mentions) == before:
             return s.mentions
+        if priority > last + MAX_ROUNDS:
+            raise RecursionError("the rules keep finding new mentions")
         priority += 1
 
 
@@ -484,9 +488,13 @@ def find_mentions(sentences: DataFrame, specs: list[dict], taxonomy=None) -> Dat
             for key, tokens, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not tokens:
                     continue
-                fields = {f: [t.get(f) for t in tokens] for f in TOKEN_FIELDS if f in tokens[0]}
-                s = Sentence(fields, [(e["src"], e["dst"], e["rel"]) for e in edges or []])
-                for m in apply_rules(s, rules, taxonomy):
+                try:
+                    fields = {f: [t.get(f) for t in tokens] for f in TOKEN_FIELDS if f in tokens[0]}
+                    s = Sentence(fields, [(e["src"], e["dst"], e["rel"]) for e in edges or []])
+                    mentions = apply_rules(s, rules, taxonomy)
+                except (RecursionError, TypeError, AttributeError, ValueError, KeyError, IndexError):
+                    continue  # one sentence must not end the job: it comes out without mentions
+                for m in mentions:
                     a, b = m["trigger"] or (None, None)
                     text = " ".join(str(w) for w in s.fields["word"][m["start"] : m["stop"]])
                     rows.append((key, m["no"], m["labels"][0], m["labels"], m["start"], m["stop"], a, b, text, [{"role": r, "mention_no": n} for r, n in m["args"]], "++".join(m["found_by"])))

@@ -66,6 +66,125 @@ def read_once_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.count("*").alias("documents")).join(F.broadcast(g.agg(F.count("*").alias("pairs"))))  # one row each
 
 
+def kafka_notices(spark: SparkSession, servers: str, topic: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``document_id, payload`` of a topic from its earliest record on; a record with the id of an earlier one comes as well. Needs Spark's Kafka package."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").options(**(options or {}))
+    return reader.load().select(F.col("key").cast("string").alias("document_id"), F.col("value").cast("string").alias("payload"))
+
+
+def file_notices(spark: SparkSession, path: str, files_per_batch: int = 5000) -> DataFrame:
+    """The same from a folder of JSON files, one notice each: stands in for the topic in tests and replays."""
+    files = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).option("wholetext", "true").text(path)
+    return files.select(F.get_json_object("value", "$.document_id").alias("document_id"), F.col("value").alias("payload"))
+
+
+def guarded(documents: DataFrame, read: Callable[[str, str], list[dict]], schema: str) -> DataFrame:
+    """``doc_id, found array<struct<schema>>, error``: what ``read(doc_id, text)`` finds in each document.
+
+    A document whose reading fails comes out with an empty list and the error, so every document gives one row and a
+    failure never ends the loop. ``documents(doc_id, text)``.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import ArrayType, StructType
+
+    item = StructType.fromDDL(schema)
+    kind = to_arrow_type(ArrayType(item))
+
+    def run(batches):
+        for batch in batches:
+            found, errors = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    one = read(doc, text)
+                    pa.array([one], kind)
+                    error = None
+                except Exception as e:  # noqa: BLE001 - any failure of a reader is the document's own
+                    one, error = [], f"{type(e).__name__}: {e}"
+                found.append(one)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind), pa.array(errors, pa.string())], names=["doc_id", "found", "error"])
+
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text")).mapInArrow(run, StructType.fromDDL(f"doc_id string, found array<struct<{_inner(schema)}>>, error string"))
+
+
+def _inner(schema: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields)
+
+
+class Uploads:
+    """``foreachBatch`` sink that hands each new file to ``send(path, payload) -> key`` and logs the result.
+
+    ``rows(path, payload)``. The log ``path, storage_key, batch`` has ``<failed>`` for a failed one, which is tried again when
+    it comes again; a file that was sent is not sent twice. Each task sends its own rows. A retried batch replaces its part of the log.
+    """
+
+    FAILED = "<failed>"
+
+    def __init__(self, spark: SparkSession, path: str, send: Callable[[str, str], str]):
+        self.spark, self.path, self.send = spark, path, send
+
+    def log(self) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        schema = "path string, storage_key string, batch int"
+        try:
+            return self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def __call__(self, rows: DataFrame, number: int) -> None:
+        import pyarrow as pa
+
+        send, failed = self.send, self.FAILED
+
+        def run(batches):
+            for batch in batches:
+                keys = []
+                for path, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    try:
+                        keys.append(send(path, payload))
+                    except Exception:  # noqa: BLE001 - an endpoint may fail in any way
+                        keys.append(failed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], names=["path", "storage_key"])
+
+        sent = self.log().where((F.col("batch") < number) & (F.col("storage_key") != failed)).select("path").distinct()
+        new = rows.select("path", "payload").dropDuplicates(["path"]).join(sent, "path", "left_anti")
+        new.mapInArrow(run, "path string, storage_key string").write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+
+class Vocabularies:
+    """Vocabularies by id, each loaded once with ``load(id) -> DataFrame`` and kept in memory of the driver's plan; at most ``size`` of them."""
+
+    def __init__(self, load: Callable[[str], DataFrame], size: int = 100):
+        self.load, self.size, self.held = load, size, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.held:
+            while len(self.held) >= self.size:
+                self.held.pop(next(iter(self.held)))
+            self.held[name] = self.load(name)
+        return self.held[name]
+
+
+def restarted(start: Callable[[], object], attempts: int = 5, pause: float = 5.0) -> int:
+    """Starts a query and waits for its end, again after a failure, and returns how often it failed; beyond ``attempts`` the failure is raised."""
+    import time
+
+    failures = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return failures
+        except Exception:  # noqa: BLE001 - whatever ended the query, its checkpoint says where to go on
+            failures += 1
+            if failures > attempts:
+                raise
+            time.sleep(pause)
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Event-time windows with a watermark: rows later than ``late`` behind the newest are left out of their closed window."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
