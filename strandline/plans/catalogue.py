@@ -712,3 +712,107 @@ def _(spark, d):
     from strandline.sources.exporters import annotation_sheet
 
     return annotation_sheet(pipeline.edges(pipeline.mentions(X.english(table(spark, d, "documents")))))
+
+
+def _states():
+    """Attachments of extractions; rows without a type are none."""
+    return F.transform(F.filter(F.coalesce("states", F.expr("cast(array() AS array<struct<state_type:string,state_text:string>>)")), lambda s: s["state_type"].isNotNull()), lambda s: F.struct(s["state_type"].alias("type"), s["state_text"].alias("trigger"), F.array().cast("array<string>").alias("quantifiers")))
+
+
+def _as_corpus(spark, d):
+    """``extractions`` as the mentions of an annotated corpus, with their documents and (empty) sentences."""
+    e = table(spark, d, "extractions").where("document_id IS NOT NULL AND sent_no IS NOT NULL")
+    none = lambda kind: F.lit(None).cast(kind)
+    mentions = e.select(
+        "document_id", "sent_no", F.col("extraction_id").cast("int").alias("mention_no"), F.coalesce("subtype", F.lit("")).alias("label"), F.coalesce("mention_labels", F.array().cast("array<string>")).alias("labels"), F.lit(0).alias("start"), F.lit(1).alias("stop"), none("int").alias("trigger_start"),
+        none("int").alias("trigger_stop"), F.col("mention_text").alias("text"), F.array().cast("array<struct<role:string,mention_no:int>>").alias("args"), F.col("rule_name").alias("found_by"), "canonical_name", "relevance", _states().alias("attachments"),
+    )
+    docs = table(spark, d, "cdr").select("document_id", F.col("extracted_metadata.Title").alias("title"), F.col("uri").alias("location"), none("string").alias("dct_text"), none("date").alias("dct_start"), none("date").alias("dct_end"))
+    sentences = e.select("document_id", "sent_no").distinct().select("document_id", "sent_no", none("string").alias("text"), none("double").alias("relevance"), F.lit(None).cast("array<struct<word:string,tag:string,entity:string,start:int,stop:int,lemma:string,chunk:string,norm:string>>").alias("tokens"), F.lit(None).cast("array<struct<src:int,dst:int,rel:string>>").alias("edges"))
+    return docs, sentences, mentions
+
+
+KEPT_STATES = "len(list_filter(states, lambda s: s.state_type IS NOT NULL))"
+
+
+@query("corpus_round_trip", f"SELECT document_id, sent_no, extraction_id::INTEGER AS mention_no, mention_text AS text, rule_name AS found_by, canonical_name, relevance, coalesce({KEPT_STATES}, 0)::INTEGER AS n_states FROM extractions WHERE document_id IS NOT NULL AND sent_no IS NOT NULL")
+def _(spark, d):
+    from strandline.sources import corpus
+
+    _, _, m = corpus.read_corpus(corpus.write_corpus(*_as_corpus(spark, d)))
+    return m.select("document_id", "sent_no", "mention_no", "text", "found_by", "canonical_name", "relevance", F.size("attachments").alias("n_states"))
+
+
+@query("mention_json_round_trip", "SELECT document_id, sent_no, subtype AS label, rule_name AS found_by, count(*) AS n FROM (SELECT DISTINCT document_id, sent_no, coalesce(subtype, '') AS subtype, rule_name, mention_labels FROM extractions WHERE document_id IS NOT NULL AND sent_no IS NOT NULL) GROUP BY ALL")
+def _(spark, d):
+    from strandline.sources import corpus
+
+    m = corpus.read_mentions_json(corpus.mentions_json(_as_corpus(spark, d)[2]))
+    return m.groupBy("document_id", "sent_no", "label", "found_by").agg(F.count("*").alias("n"))
+
+
+@query("metadata_keys", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(payload)) AS key FROM meta_files WHERE json_valid(payload)) GROUP BY key")
+def _(spark, d):
+    from strandline.sources.dimensions import metadata_keys
+
+    return metadata_keys(table(spark, d, "meta_files"), F.col("payload"))
+
+
+@query("attachment_words", "SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(states, lambda s: s.state_text), lambda t: t IS NOT NULL)) AS word FROM extractions) GROUP BY word")
+def _(spark, d):
+    e = table(spark, d, "extractions").select(F.explode(_states()).alias("a")).where("a.trigger IS NOT NULL")
+    named = F.struct(F.col("a.trigger").alias("trigger"), F.col("a.quantifiers").alias("quantifiers"), F.lit(None).cast("string").alias("text"))
+    return e.select(F.explode(T.words_of(named)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(
+    "document_time_attached",
+    f"""SELECT extraction_id, (coalesce({KEPT_STATES}, 0) + CASE WHEN dct IS NOT NULL AND coalesce(len(list_filter(states, lambda s: s.state_type = 'TIMEX')), 0) = 0 THEN 1 ELSE 0 END)::INTEGER AS n
+    FROM extractions LEFT JOIN (SELECT document_id, min("timestamp") AS dct FROM cdr WHERE "timestamp" IS NOT NULL GROUP BY document_id) USING (document_id)""",
+)
+def _(spark, d):
+    e = table(spark, d, "extractions").select("extraction_id", F.col("document_id").alias("doc_id"), _states().alias("attachments"))
+    docs = table(spark, d, "cdr").where("document_id IS NOT NULL").select(F.col("document_id").alias("doc_id"), F.col("timestamp").alias("dct"))
+    return T.with_document_time(e, docs).select("extraction_id", F.size("attachments").alias("n"))
+
+
+@query(
+    "quantified_changes",
+    f"""SELECT extraction_id AS mention_id, s.state_text AS quantifier, round(exp(intercept + mu * 2.0 + sigma * 0.5) * 0.5, 6) AS delta FROM (SELECT extraction_id, unnest(list_filter(states, lambda s: s.state_type = 'QUANT')) AS s FROM extractions)
+    LEFT JOIN (VALUES {", ".join(map(str, ADJECTIVES))}) AS k(adjective, intercept, mu, sigma) ON adjective = lower(s.state_text)""",
+)
+def _(spark, d):
+    k = spark.createDataFrame(ADJECTIVES, "adjective string, intercept double, mu double, sigma double")
+    m = table(spark, d, "extractions").select(F.col("extraction_id").alias("mention_id"), _states().alias("attachments"))
+    return T.quantified(m, k, 2.0, 0.5).select("mention_id", "quantifier", F.round("delta", 6).alias("delta"))
+
+
+@query(
+    "expandable_concepts",
+    """SELECT extraction_id AS mention_no FROM extractions c WHERE extraction_type = 'concept' AND len(list_filter(states, lambda s: s.state_type IN ('INC', 'DEC', 'QUANT', 'POS', 'NEG'))) > 0
+    AND NOT EXISTS (SELECT 1 FROM extractions e WHERE e.extraction_type = 'relation' AND e.document_id = c.document_id AND e.canonical_name = c.canonical_name)""",
+)
+def _(spark, d):
+    from strandline.operators.reshape import expandable_concepts
+
+    e = table(spark, d, "extractions")
+    named = F.xxhash64("document_id", "canonical_name").cast("string")
+    key = F.when(F.col("document_id").isNotNull() & F.col("canonical_name").isNotNull(), named).alias("sent_key")
+    m = e.where("extraction_type = 'concept'").select(key, F.col("extraction_id").alias("id"), F.lit(0).alias("mention_no"), F.lit("Concept").alias("label"), F.array(F.lit("Concept")).alias("labels"), _states().alias("attachments"))
+    edges = e.where("extraction_type = 'relation'").select(key, F.lit(0).alias("mention_no")).where("sent_key IS NOT NULL")
+    return expandable_concepts(m, edges).select(F.col("id").alias("mention_no"))
+
+
+@query(
+    "gold_rejects",
+    """SELECT extraction_id AS row_no FROM extractions e WHERE NOT EXISTS (SELECT 1 FROM cdr c WHERE c.document_id = e.document_id AND contains(c.extracted_text, e.mention_text))
+    OR canonical_name IS NULL OR mention_text IS NULL""",
+)
+def _(spark, d):
+    from strandline.sources.dimensions import gold_sheet
+
+    e = table(spark, d, "extractions")
+    entities = e.select(F.col("extraction_id").alias("row_no"), F.col("document_id").alias("sent_key"), F.when(F.col("canonical_name").isNotNull(), F.col("mention_text")).alias("entity"))
+    texts = table(spark, d, "cdr").where("document_id IS NOT NULL").select(F.col("document_id").alias("sent_key"), F.col("extracted_text").alias("text"))
+    nodes = e.where("canonical_name IS NOT NULL AND mention_text IS NOT NULL").select(F.col("mention_text").alias("id"), F.lit("wm/any").alias("node"), F.lit(1.0).alias("score")).distinct()
+    return gold_sheet(entities, texts, nodes)[1].select("row_no")
