@@ -13,8 +13,9 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.timestamps import normalise
@@ -28,6 +29,10 @@ PART_ROWS = 4_000_000
 ATTEMPTS = 5
 
 
+def _size():
+    return F.count("*").alias("n"), F.min("instant").alias("low"), F.max("instant").alias("high")
+
+
 class Overtaken(RuntimeError):
     """Another writer published the version this one was preparing."""
 
@@ -86,13 +91,14 @@ class MessageStore:
     def _read(self, folders: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def ingest(self, incoming: DataFrame) -> None:
+    def ingest(self, incoming: DataFrame, size=None) -> None:
         """Adds one batch, whole or not at all. ``incoming`` is read several times: write a dear one first.
 
-        Copies are combined map-side per message, so a message with a third of all rows is no hot task.
+        ``size`` is a row with the number ``n`` of its messages and the range ``low, high`` of their instants, where they
+        are known. Copies are combined map-side per message, so a message with a third of all rows is no hot task.
         """
         rows = incoming.where(F.col("id").isNotNull() & F.col("instant").isNotNull()).select("id", "instant", "arrival")
-        size = rows.agg(F.count("*").alias("n"), F.min("instant").alias("low"), F.max("instant").alias("high")).first()
+        size = size or rows.agg(*_size()).first()
         if not size.n:
             return
         for attempt in range(ATTEMPTS):
@@ -124,15 +130,21 @@ class MessageStore:
         # a message lies in one partition at most, so its home is the only one that is not null
         winners = every.groupBy("id", "instant").agg(F.min("arrival").alias("arrival"), F.sum("copies").alias("copies"), F.max("home").alias("home"), F.count("*").alias("seen"))
         winners = winners.withColumn("home", F.coalesce("home", new_home)).withColumn("folder", F.col("home"))
-        winners.write.partitionBy("folder").parquet(f"{root}/data")
+        watch = Observation()
+        winners.observe(watch, F.count_if(F.col("seen") > 1).alias("again")).write.partitionBy("folder").parquet(f"{root}/data")
         kept = self._read([f"{root}/data"], _ROWS + ", seen bigint, folder string")
-        kept.select(F.xxhash64("id", "instant").alias("key"), "home", "folder").write.partitionBy("folder").parquet(f"{root}/index")
-        ranges = kept.groupBy("home").agg(F.min("instant").alias("low"), F.max("instant").alias("high"), F.count_if(F.col("seen") > 1).alias("again")).collect()  # one row per written partition
-        again = sum(r.again for r in ranges)
+        again = watch.get["again"]
+        keys = kept.select(F.xxhash64("id", "instant").alias("key"), "home", "folder")
+        writes = [lambda: keys.write.partitionBy("folder").parquet(f"{root}/index")]
         if again:
-            self._losers(every, kept.where("seen > 1"), again).write.parquet(f"{root}/surplus")
-        for r in ranges:
-            parts[r.home] = {"data": f"{root}/data/folder={r.home}", "index": f"{root}/index/folder={r.home}", "low": r.low, "high": r.high}
+            writes.append(lambda: self._losers(every, kept.where("seen > 1"), again).write.parquet(f"{root}/surplus"))
+        with ThreadPoolExecutor(2) as both:  # neither needs the other
+            for done in [both.submit(w) for w in writes]:
+                done.result()
+        data, fs = self._hadoop(f"{root[len(self.path) + 1 :]}/data")
+        for home in (f.getPath().getName()[len("folder=") :] for f in fs.listStatus(data) if f.isDirectory()):
+            old = parts.get(home, {"low": size.low, "high": size.high})
+            parts[home] = {"data": f"{root}/data/folder={home}", "index": f"{root}/index/folder={home}", "low": min(old["low"], size.low), "high": max(old["high"], size.high)}
         return {"version": manifest["version"] + 1, "parts": parts, "surplus": manifest["surplus"] + ([f"{root}/surplus"] if again else [])}
 
     @staticmethod
@@ -197,8 +209,9 @@ def stored(notices: DataFrame, teams: DataFrame, loads: int = 16) -> MessageStor
     scratched(spark, path)
     fed = spark.read.schema("id binary, instant bigint, arrival bigint, load int").parquet(path)
     store = MessageStore(spark, scratch_path(spark, "messages"))
-    for i in range(loads):
-        store.ingest(fed.where(F.col("load") == i))
+    sizes = {r.load: r for r in fed.where("id IS NOT NULL AND instant IS NOT NULL").groupBy("load").agg(*_size()).collect()}  # one row per load
+    for i in sorted(sizes):
+        store.ingest(fed.where(F.col("load") == i), sizes[i])
     scratched(spark, store.path)
     return store
 
