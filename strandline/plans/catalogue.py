@@ -451,7 +451,12 @@ def _(spark, d):
     return t.select("document_id", "sent_no", F.round(S.noisy_or(F.array(F.col("a"), 0.5 * F.col("b"))), 6).alias("score"))
 
 
-@query("ontology_pairwise_map")
+@query(
+    "ontology_pairwise_map",
+    """WITH n AS (SELECT e.vec_id, printf('n%03d', e.vec_id) AS node, e.label, e.embedding::DOUBLE[] AS v, p.embedding::DOUBLE[] AS up FROM embeddings e LEFT JOIN embeddings p ON p.vec_id = e.vec_id // 10)
+    SELECT id, node, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, node) AS rank FROM (SELECT a.node AS id, b.node, round(0.9 * list_dot_product(a.v, b.v) + 0.05 * coalesce(list_dot_product(a.up, b.up), 0), 6) AS score
+      FROM n a, n b WHERE coalesce(a.label % 2 = 1, false) AND NOT coalesce(b.label % 2 = 1, false))) WHERE rank <= 3""",
+)
 def _(spark, d):
     # two vocabularies that share out the whole table: nodes of odd labels and all others
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
@@ -629,7 +634,7 @@ def _(spark, d):
     return corpus_documents(table(spark, d, "cdr"), table(spark, d, "extractions"))
 
 
-@query("stream_read_once")
+@query("stream_read_once", "SELECT count(DISTINCT id) AS documents, (SELECT count(*) FROM (SELECT DISTINCT lower(regexp_replace(document_id, '[-\\s\\x{a0}]+', '', 'g')), unnest(ontologies) AS o FROM notices WHERE document_id IS NOT NULL) WHERE o IS NOT NULL) AS pairs FROM (SELECT lower(regexp_replace(document_id, '[-\\s\\x{a0}]+', '', 'g')) AS id FROM notices)")
 def _(spark, d):
     from strandline.streaming.exchange import read_once_counts
 
