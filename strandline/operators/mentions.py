@@ -46,15 +46,20 @@ def containing(points: DataFrame, intervals: DataFrame, on: list[str], point: st
 
 
 def keep_longest(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", tie: str = "id") -> DataFrame:
-    """Rows whose interval lies in no longer one (or an equal one with a smaller ``tie``) of the same keys."""
-    outer = df.select(*keys, F.col(start).alias("__s"), F.col(stop).alias("__e"), F.col(tie).alias("__tie"))
-    size, osize = F.col(stop) - F.col(start), F.col("__e") - F.col("__s")
-    inside = (F.col("__s") <= F.col(start)) & (F.col("__e") >= F.col(stop)) & ((osize > size) | ((osize == size) & (F.col("__tie") < F.col(tie))))
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.alias("l").join(outer.alias("r"), cond & inside, "left_anti")
+    """Rows whose interval lies in no longer one (or an equal one with a smaller ``tie``) of the same keys.
+
+    In the order of start, falling stop and tie whatever holds an interval stands before it, so the largest stop so far
+    decides: one sort of the group instead of a comparison of all pairs. Rows with a null key or offset, and repeated rows
+    of one tie, hold nothing of each other and stay.
+    """
+    whole = F.col(start).isNotNull() & F.col(stop).isNotNull()
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    order = Window.partitionBy(*keys, "__whole").orderBy(start, F.desc(stop), tie).rowsBetween(Window.unboundedPreceding, -1)
+    reach = df.withColumn("__whole", whole).withColumn("__reach", F.when(F.col("__whole"), F.max(stop).over(order)))
+    # of repeated rows the first has the smallest reach; where nothing stands before it, it reaches less far than the row
+    first = F.min(F.coalesce("__reach", F.col(stop) - 1)).over(Window.partitionBy(*keys, "__whole", start, stop, tie))
+    return reach.withColumn("__first", F.when(F.col("__whole"), first)).where(F.col("__first").isNull() | (F.col("__first") < F.col(stop))).drop("__whole", "__reach", "__first")
 
 
 def best_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -28,3 +28,19 @@ def test_too_many_shared_names_are_refused(spark, monkeypatch):
     monkeypatch.setattr(schema_drift, "MAX_NAMES", 0)
     with pytest.raises(ValueError, match="field names"):
         schema_drift.fields_of(raw)
+
+
+def test_longest_intervals_against_brute_force(spark):
+    import random
+
+    random.seed(2)
+    rows = [(random.choice(["a", "b", None]), random.choice([None, *range(6)]), random.choice([None, *range(6, 11)]), random.randrange(12), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, start int, stop int, id int, row int")
+
+    def held(x, y):
+        if None in (*x[:3], *y[:3]) or x[0] != y[0] or y[1] > x[1] or y[2] < x[2]:
+            return False
+        return y[2] - y[1] > x[2] - x[1] or (y[2] - y[1] == x[2] - x[1] and y[3] < x[3])
+
+    want = sorted(x[4] for x in rows if not any(held(x, y) for y in rows))
+    assert sorted(r.row for r in M.keep_longest(df, ["k"]).collect()) == want
