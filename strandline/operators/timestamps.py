@@ -354,12 +354,8 @@ def normalise(df: DataFrame, value_col: str, source_col: str, teams: DataFrame,
 
 
 def found_instants(notices: DataFrame, cdr: DataFrame, teams: DataFrame) -> DataFrame:
-    """p6: ``field_name, row_no, utc_us`` of every usable value of the three fields."""
-    n = normalise(notices.select("delivery_no", "team", F.col("timestamp").alias("v")), "v", "team", teams)
-    meta = cdr.select("rec_no", "team", F.explode(F.create_map(F.lit("CreationDate"), F.col("extracted_metadata.CreationDate"), F.lit("ModDate"), F.col("extracted_metadata.ModDate"))).alias("field_name", "v"))
-    c = normalise(meta, "v", "team", teams)
-    return (
-        n.select(F.lit("timestamp").alias("field_name"), F.col("delivery_no").alias("row_no"), "utc_us")
-        .unionByName(c.select("field_name", F.col("rec_no").alias("row_no"), "utc_us"))
-        .where(F.col("utc_us").isNotNull())
-    )
+    """p6: ``field_name, row_no, utc_us`` of every usable value of the three fields; a team's values of all fields make one mixture."""
+    n = notices.select(F.lit("timestamp").alias("field_name"), F.col("delivery_no").alias("row_no"), "team", F.col("timestamp").alias("v"))
+    both = F.create_map(F.lit("CreationDate"), F.col("extracted_metadata.CreationDate"), F.lit("ModDate"), F.col("extracted_metadata.ModDate"))
+    c = cdr.select(F.explode(both).alias("field_name", "v"), F.col("rec_no").alias("row_no"), "team")
+    return normalise(n.unionByName(c), "v", "team", teams).where(F.col("utc_us").isNotNull()).select("field_name", "row_no", "utc_us")
